@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from .ann import OP6_SQL, op6_block_neighbours
+from .bpe import op4_bpe_automaton
 from .mixing import OP1_SQL, op1_mix_sources
 from .sharding import op9_shard_tree
 from .url_filter import OP5_SQL, op5_url_link_graph
+from .warc import OP3_SQL, op3_warc_bundles
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op3_warc_bundles": op3_warc_bundles,
+        "op4_bpe_automaton": op4_bpe_automaton,
         "op5_url_link_graph": op5_url_link_graph,
+        "op6_block_neighbours": op6_block_neighbours,
         "op9_shard_tree": op9_shard_tree,
     }
 
@@ -18,5 +24,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_mix_sources": OP1_SQL,
+        "op3_warc_bundles": OP3_SQL,
         "op5_url_link_graph": OP5_SQL,
+        "op6_block_neighbours": OP6_SQL,
     }
