@@ -5,7 +5,9 @@ from __future__ import annotations
 from .ann import OP6_SQL, op6_block_neighbours
 from .bpe import op4_bpe_automaton
 from .mixing import OP1_SQL, op1_mix_sources
+from .quality import op8_quality_mcd
 from .sharding import op9_shard_tree
+from .toxicity import op7_string_kernel
 from .url_filter import OP5_SQL, op5_url_link_graph
 from .warc import OP3_SQL, op3_warc_bundles
 
@@ -17,6 +19,8 @@ def queries() -> dict:
         "op4_bpe_automaton": op4_bpe_automaton,
         "op5_url_link_graph": op5_url_link_graph,
         "op6_block_neighbours": op6_block_neighbours,
+        "op7_string_kernel": op7_string_kernel,
+        "op8_quality_mcd": op8_quality_mcd,
         "op9_shard_tree": op9_shard_tree,
     }
 
