@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import OP6_SQL, op6_block_neighbours
 from .bpe import op4_bpe_automaton
 from .mixing import OP1_SQL, op1_mix_sources
+from .near_dup import op2_near_duplicates
 from .quality import op8_quality_mcd
 from .sharding import op9_shard_tree
 from .toxicity import op7_string_kernel
@@ -15,6 +16,7 @@ from .warc import OP3_SQL, op3_warc_bundles
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_near_duplicates": op2_near_duplicates,
         "op3_warc_bundles": op3_warc_bundles,
         "op4_bpe_automaton": op4_bpe_automaton,
         "op5_url_link_graph": op5_url_link_graph,
@@ -28,6 +30,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_mix_sources": OP1_SQL,
+        "op2_near_duplicates": op2_near_duplicates,
         "op3_warc_bundles": OP3_SQL,
         "op5_url_link_graph": OP5_SQL,
         "op6_block_neighbours": OP6_SQL,
