@@ -250,5 +250,18 @@ def class_texts(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
     return texts.join(ids, "id").dropDuplicates(["id", "h"]).drop("h")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the least id. Rows that share
+    an id are one document, and one row of them stays; rows without an id all stay."""
+    i = f"`{id_col}`"
+    gone = near_duplicates(docs.select(i, f"`{text}`"), id_col=id_col, text=text, **how).filter("not kept").select(F.col(i).alias("__gone")).distinct()
+    left = docs.join(gone, F.col(i) == F.col("__gone"), "left_anti")
+    twice = docs.filter(F.col(i).isNotNull()).groupBy(F.col(i).alias("__twice")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__twice")
+    if twice.isEmpty():
+        return left
+    repeated = left.join(twice, F.col(i) == F.col("__twice"), "left_semi").dropDuplicates([id_col])
+    return left.join(twice, F.col(i) == F.col("__twice"), "left_anti").unionByName(repeated)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), OP_SHINGLE)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .ann import OP6_SQL, op6_block_neighbours
 from .bpe import op4_bpe_automaton
+from .hmm_lm import op10_hidden_markov
 from .mixing import OP1_SQL, op1_mix_sources
 from .near_dup import op2_near_duplicates
 from .quality import op8_quality_mcd
@@ -24,11 +27,14 @@ def queries() -> dict:
         "op7_string_kernel": op7_string_kernel,
         "op8_quality_mcd": op8_quality_mcd,
         "op9_shard_tree": op9_shard_tree,
+        "op10_hidden_markov": op10_hidden_markov,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {
         "op1_mix_sources": OP1_SQL,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_warc_bundles": OP3_SQL,
