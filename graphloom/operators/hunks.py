@@ -22,7 +22,7 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
 def with_untracked(changed: DataFrame, files: DataFrame) -> DataFrame:
     """All lines of untracked files (rel_path, n_lines) that the diffs don't name."""
     new = files.join(changed.select("rel_path").distinct(), "rel_path", "left_anti").filter("n_lines > 0")
-    return changed.select("rel_path", "line").unionByName(new.select("rel_path", F.explode(F.sequence(F.lit(1), F.col("n_lines"))).cast("int").alias("line"))).distinct()
+    return changed.select("rel_path", "line").unionByName(new.select("rel_path", F.explode(F.sequence(F.lit(1), F.col("n_lines").cast("int"))).alias("line"))).distinct()
 
 
 def hunks(changed: DataFrame, bucket: int = 4096) -> DataFrame:

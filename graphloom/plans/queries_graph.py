@@ -280,7 +280,7 @@ def changed_hunks(spark, d):
     return H.hunks(T.changed_lines(spark, d)).withColumn("label", S.hunk_label(F.col("start"), F.col("end")))
 
 
-@query("j12_hunk_distance", f"WITH {HUNKS}, l AS (SELECT DISTINCT event_type AS rel_path, user_id AS line FROM events), b AS (SELECT l.*, s.\"end\" AS e FROM l ASOF LEFT JOIN spans s ON l.rel_path = s.rel_path AND l.line >= s.start), a AS (SELECT b.*, s.start AS n FROM b ASOF LEFT JOIN spans s ON b.rel_path = s.rel_path AND b.line <= s.start) SELECT rel_path, line, least(greatest(0, line - e), n - line) AS distance FROM a")
+@query("j12_hunk_distance", f"WITH {HUNKS}, l AS (SELECT DISTINCT event_type AS rel_path, user_id AS line FROM events), b AS (SELECT l.*, s.\"end\" AS e FROM l ASOF LEFT JOIN spans s ON l.rel_path = s.rel_path AND l.line >= s.start), a AS (SELECT b.*, s.start AS n FROM b ASOF LEFT JOIN spans s ON b.rel_path = s.rel_path AND b.line <= s.start) SELECT rel_path, line, least(CASE WHEN e IS NOT NULL THEN greatest(0, line - e) END, n - line) AS distance FROM a")
 def distance(spark, d):
     lines = T.table(spark, d, "events").select(F.col("event_type").alias("rel_path"), F.col("user_id").alias("line")).distinct()
     return H.hunk_distance(lines, H.hunks(T.changed_lines(spark, d))).select("rel_path", "line", "distance")

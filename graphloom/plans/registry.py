@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from graphloom.operators.budget import pack
 
 from . import queries_graph as graph
+from . import queries_lanes as lanes
 
-MODULES = (graph,)
+MODULES = (graph, lanes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
