@@ -175,9 +175,11 @@ def estimates(rows: DataFrame, group: str) -> DataFrame:
 
 
 def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """docs without the text, with statistics, base_failed, distance and kept."""
+    """docs without the text, with statistics, base_failed, distance and kept; columns of docs with
+    these names go."""
     (group,) = fresh(docs, "group")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    made = {x.split()[0] for x in BASE.split(", ")} | {"point", "base_failed", "distance", "kept", text}
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
     rows = docs.select(*rest, with_statistics(F.col(f"`{text}`")).alias("__s")).select(*rest, "__s.*").withColumn("base_failed", base_failed())
     rows = saved(grouped(rows, group, lang, source))
     fits = estimates(rows.filter(f"not base_failed and `{group}` is not null").select(group, "point"), group)

@@ -76,7 +76,8 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, follow:
     if edges.isEmpty():
         return mass
     for step in range(rounds):
-        flow = mass.join(edges, (mass.host == edges.src) & (mass.kind == edges.kind)).select(edges.dst.alias("host"), edges.kind, F.expr(f"cast((cast(mass as decimal(38,0)) * {follow} * n) div (100 * out) as bigint)").alias("mass"))
+        step_mass = F.expr(f"cast((cast(mass as decimal(38,0)) * {follow} * n) div (100 * out) as bigint)")
+        flow = mass.withColumnRenamed("host", "src").join(edges, ["src", "kind"]).select(F.col("dst").alias("host"), "kind", step_mass.alias("mass"))
         back = start.select("host", "kind", F.expr(f"(base * {100 - follow}) div 100").alias("mass"))
         mass = flow.unionByName(back).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
         if step % 4 == 3:
