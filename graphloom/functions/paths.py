@@ -138,10 +138,11 @@ def glob_regex(pattern: str) -> tuple[str, bool]:
     if p.endswith("/"):
         return f"^{_quoted(p.rstrip('/'))}(/.*)?$", False
     if not re.search(r"[*?\[\]]", p):
-        return f"^{_quoted(p)}(/.*)?$|^(.*/)?{_quoted(p)}$", False
+        return f"^{_quoted(p)}(/.*)?$" + ("" if "/" in p else f"|^(.*/)?{_quoted(p)}$"), False
     if "/" not in p:
         return f"^{_segment(p)}$", True
     parts = [x for x in p.split("/") if x]
+    parts = [x for k, x in enumerate(parts) if x != "**" or parts[k - 1 : k] != ["**"]]
     out = ""
     for k, part in enumerate(parts):
         last = k == len(parts) - 1

@@ -62,7 +62,7 @@ RULES: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]] = {
     "udev": ((".rules",), (r'\bLABEL="([^"]+)"', r"\bENV\{(\w+)\}="), (r'\bGOTO="([^"]+)"', r"\$env\{(\w+)\}")),
 }
 BY_SUFFIX = {s: lang for lang, (suffixes, _, _) in RULES.items() for s in suffixes} | {".py": "python", ".vue": "vue"}
-KEYWORDS = frozenset("if for while switch catch return function else elif match with not and or in is typeof sizeof do new super this self".split())
+KEYWORDS = frozenset("def fn fun func if for while switch catch return function else elif match with not and or in is typeof sizeof do new super this self".split())
 _COMPILED = {lang: (tuple(map(re.compile, d)), tuple(map(re.compile, r))) for lang, (_, d, r) in RULES.items()}
 _HASH = {"elixir", "r", "ruby", "properties", "udev", "hcl"}
 _SEMI = {"commonlisp", "elisp", "racket"}
