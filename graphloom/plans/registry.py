@@ -11,8 +11,9 @@ from graphloom.operators.budget import pack
 
 from . import queries_graph as graph
 from . import queries_lanes as lanes
+from . import queries_tree as tree
 
-MODULES = (graph, lanes)
+MODULES = (graph, lanes, tree)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
