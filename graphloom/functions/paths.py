@@ -38,17 +38,17 @@ IMPORTANT = tuple(
 
 #: (signal, regex) in the order in which they are tried on a line; Java and RE2 agree on these.
 ENTRY_SIGNALS = (
-    ("python_main_guard", r"""if\s+__name__\s*==\s*["']__main__["']"""),
-    ("main_function", r"\b(def|func)\s+main\s*\(|\bstatic\s+void\s+main\s*\("),
-    ("server_bootstrap", r"\b(app|server)\.listen\s*\(|\buvicorn\.run\s*\(|\bcreateServer\s*\("),
-    ("cli_bootstrap", r"\b(argparse\.ArgumentParser|click\.command|typer\.Typer)\b"),
-    ("web_app_factory", r"\b(FastAPI|Flask|express)\s*\("),
+    ("python_main_guard", r"""if\s+__name__\s*={2}\s*(?:"|')__main__(?:"|')"""),
+    ("main_function", r"\b(?:(?:func|def)|static\s+void)\s+main\s*\("),
+    ("server_bootstrap", r"\b(?:(?:server|app)\.listen|uvicorn\.run|createServer)\s*\("),
+    ("cli_bootstrap", r"\b(?:typer\.Typer|click\.command|argparse\.ArgumentParser)\b"),
+    ("web_app_factory", r"\b(?:express|Flask|FastAPI)\s*\("),
 )
 API_SIGNALS = (
-    ("route_definition", r"@\w*app\.route|@\w*router\.(delete|get|patch|post|put)|\b(app|router)\.(delete|get|patch|post|put)\s*\("),
-    ("api_router", r"\b(APIRouter|Blueprint)\s*\("),
-    ("explicit_exports", r"\bexport\s+(class|const|function|interface|type)\b|\b(module\.exports|__all__)\b|\bexports\.\w+\b"),
-    ("package_reexports", r"^\s*from\s+\.[\w.]+\s+import\s+"),
+    ("route_definition", r"@\w*(?:app\.route|router\.(?:delete|get|patch|post|put))|\b(?:app|router)\.(?:delete|get|patch|post|put)\s*\("),
+    ("api_router", r"\b(?:Blueprint|APIRouter)\s*\("),
+    ("explicit_exports", r"\bexport\s+(?:class|const|function|interface|type)\b|\b(?:module\.exports|__all__)\b|\bexports\.\w+\b"),
+    ("package_reexports", r"^[\t ]*from[\t ]+\.[\w.]+\s+import\s"),
     ("url_patterns", r"\burlpatterns\b"),
 )
 

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs")
 SPEC = "source string, pos int, relation string, line int, source_symbol string, target_symbol string, detail string, candidates array<string>"
 _NAME = r"[A-Za-z_]\w*"
-_FROM = {kind: re.compile(rf"""^\s*{kind}\s+([\s\S]*?)\s+from\s+["']([^"']+)["']\s*;?""", re.M) for kind in ("import", "export")}
-_REQUIRE = re.compile(rf"""^\s*(?:var|let|const)\s+({_NAME})\s*=\s*require\(\s*["']([^"']+)["']\s*\)\s*;?\s*$""")
-_PY_FROM = re.compile(rf"^\s*from\s+(\.*)({_NAME}(?:[.\w]*))?\s+import\s+(.+?)\s*$")
-_PY_IMPORT = re.compile(r"^\s*import\s+(.+?)\s*$")
+_QUOTED = """(?:"|')([^'"]+)(?:"|')"""
+_FROM = {kind: re.compile(rf"(?ms)^\s*{kind}\s+(.*?)\s+from\s+{_QUOTED}") for kind in ("import", "export")}
+_REQUIRE = re.compile(rf"^\s*(?:var|let|const)\s+({_NAME})\s*=\s*require\(\s*{_QUOTED}\s*\)[\s;]*$")
+_PY_FROM = re.compile(rf"^\s*from\s+(\.*)({_NAME}(?:[.\w]*))?\s+import\s+(\S.*?)\s*$")
+_PY_IMPORT = re.compile(r"^\s*import\s+(\S.*?)\s*$")
 _AS = re.compile(rf"({_NAME})\s+as\s+({_NAME})$")
 
 
