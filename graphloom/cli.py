@@ -14,24 +14,20 @@ from graphloom.sources.git import changed_lines
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="graphloom", description=__doc__)
-    p.add_argument("paths", nargs="*", help="files and folders below root; all if none")
-    p.add_argument("--root", default=".")
-    p.add_argument("--map-tokens", default="8192", help="a number, small, medium, large, xlarge, auto or ai_guided")
-    p.add_argument("--max-context-window", type=int)
+    option = lambda name, **how: p.add_argument(f"--{name}", **how)
+    p.add_argument("paths", help="files and folders below root; all if none", nargs="*")
+    option("root", default=".")
+    option("map-tokens", help="a number, small, medium, large, xlarge, auto or ai_guided", default="8192")
     for name in ("chat-files", "mentioned-files", "mentioned-idents", "impact-from"):
-        p.add_argument(f"--{name}", nargs="*", default=[])
-    p.add_argument("--query", default="")
-    p.add_argument("--search")
-    p.add_argument("--trace-from")
-    p.add_argument("--trace-to")
-    p.add_argument("--trace-max-hops", type=int, default=6)
+        option(name, default=[], nargs="*")
+    for name in ("search", "trace-from", "trace-to", "base-ref"):
+        option(name)
+    for name, value in {"max-context-window": None, "trace-max-hops": 6, "impact-max-depth": 2, "impact-max-results": 10, "changed-neighbors": 0}.items():
+        option(name, default=value, type=int)
     for name in ("impact-changed", "review", "edit-plan", "changed", "exclude-unranked"):
-        p.add_argument(f"--{name}", action="store_true")
-    p.add_argument("--impact-max-depth", type=int, default=2)
-    p.add_argument("--impact-max-results", type=int, default=10)
-    p.add_argument("--base-ref")
-    p.add_argument("--changed-neighbors", type=int, default=0)
-    p.add_argument("--output-format", choices=("text", "json"), default="text")
+        option(name, action="store_true")
+    option("query", default="")
+    option("output-format", default="text", choices=("json", "text"))
     a = p.parse_args(argv)
     modes = [bool(a.trace_from or a.trace_to), bool(a.impact_from), a.impact_changed, a.review, bool(a.search)]
     if sum(modes) > 1:

@@ -52,7 +52,7 @@ def shorten(value: Column, limit: int) -> Column:
 
 def dependency_name(spec: Column) -> Column:
     """the name in front of extras, versions and markers."""
-    return F.regexp_extract(F.trim(spec), "^([A-Za-z0-9_.-]+)", 1)
+    return F.regexp_extract(F.trim(spec), r"^([-.\w]+)", 1)
 
 
 def code_line(line: Column, body: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 TEST_DIRS = ("__tests__", "spec", "specs", "test", "tests")
 #: Order in which test folders are tried for a source file.
-CANDIDATE_TEST_DIRS = ("tests", "test", "__tests__", "spec", "specs")
+CANDIDATE_TEST_DIRS = tuple("tests test __tests__ spec specs".split())
 INTEGRATION = ("system", "scenarios", "scenario", "integrations", "integration", "features", "feature", "end_to_end", "e2e", "acceptance")
 _SCRIPT = ("js", "jsx", "ts", "tsx")
 ENTRY_NAMES = tuple(sorted({f"{s}.{e}" for s in ("app", "index", "main", "server") for e in _SCRIPT} | {f"{s}.py" for s in ("__main__", "app", "asgi", "cli", "main", "manage", "server", "wsgi")}))
@@ -129,10 +129,7 @@ def api_signals(path: Column) -> Column:
 def glob_regex(pattern: str) -> tuple[str, bool]:
     """A glob as an anchored regex, and whether it is matched with the base name only.
     Works in Java, RE2 and Python."""
-    p = pattern.strip().replace("\\", "/")
-    while p.startswith("./"):
-        p = p[2:]
-    p = p.lstrip("/")
+    p = re.sub(r"^(?:\./)+", "", re.sub(r"\\", "/", pattern.strip())).lstrip("/")
     if not p:
         return r"^[^\s\S]", False
     if p.endswith("/"):

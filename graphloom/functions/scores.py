@@ -27,7 +27,7 @@ def scale_floor(f, w=1.0) -> Column:
 
 def query_terms(query: str) -> list[str]:
     """Lower-case terms of two letters or more, without stop words, first seen first."""
-    parts = re.split(r"[^A-Za-z0-9]+", query.lower())
+    parts = re.findall(r"[a-z0-9]+", query.lower())
     return list(dict.fromkeys(p for p in parts if len(p) > 1 and p not in STOP_WORDS))
 
 

@@ -106,7 +106,7 @@ def summary_of(rel_path: str, text: str | None) -> tuple[str | None, list[str]]:
     name, ext = os.path.basename(rel_path), os.path.splitext(rel_path)[1].lower()
     if not text:
         return None, []
-    if ext in (".md", ".rst", ".txt") or name.upper().startswith("README"):
+    if ext.lstrip(".") in ("txt", "rst", "md") or name.upper().startswith("README"):
         kind, items = "doc", markdown(text)
     elif name == "package.json":
         kind, items = "config", package_json(text)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PRESETS = {"small": 2048, "medium": 4096, "large": 8192, "xlarge": 12288}
+PRESETS = dict(zip(("small", "medium", "large", "xlarge"), (2048, 4096, 8192, 12288), strict=True))
 PADDING, EXPANSION, EXPANDED_MAX = 1024, 8, 16384
 BIN_DIGITS = 12
 

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from graphloom.functions.paths import is_integration_test, related_test_candidates
 from graphloom.functions.scores import action_confidence
 
-ROLES = {"boundary": 0, "public_api": 1, "entrypoint": 2, "config": 3, "test": 4, "neighbor": 5}
-REVIEW_ROLES = {"public_api": 0, "entrypoint": 1, "config": 2, "test": 3, "boundary": 4, "neighbor": 5}
+ROLES = {k: n for n, k in enumerate("boundary public_api entrypoint config test neighbor".split())}
+REVIEW_ROLES = {k: n for n, k in enumerate("public_api entrypoint config test boundary neighbor".split())}
+CLUSTERS = {k: n for n, k in enumerate("sibling nearby integration".split())}
 
 
 def _rank(c: Column, order: dict[str, int]) -> Column:
@@ -144,7 +145,7 @@ def test_clusters(impact: DataFrame, show: int = 6) -> DataFrame:
     t = tests.join(sib, "path", "left").withColumn("covers", F.coalesce("covers", none))
     kind = F.when(is_integration_test(F.col("path")), "integration").when(F.size("covers") > 0, "sibling").otherwise("nearby")
     g = t.withColumn("kind", kind).groupBy("seed", "kind").agg(F.slice(F.sort_array(F.collect_set("path")), 1, 6).alias("paths"), F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("covers")))), 1, 5).alias("covers"), F.min("distance").alias("closest_distance"), F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("boundary")))), 1, 5).alias("focus_symbols"))
-    return g.orderBy("closest_distance", _rank(F.col("kind"), {"sibling": 0, "nearby": 1, "integration": 2}), "seed", F.get("paths", F.lit(0))).limit(show)
+    return g.orderBy("closest_distance", _rank(F.col("kind"), CLUSTERS), "seed", F.get("paths", F.lit(0))).limit(show)
 
 
 def review_role(c=F.col) -> Column:

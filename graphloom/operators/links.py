@@ -58,10 +58,10 @@ def clause_symbols(clause: str) -> list[tuple[str | None, str | None]]:
     clause = re.sub(r"^type\s+", "", clause.strip())
     if not clause:
         return [(None, None)]
-    braces = re.search(r"\{([^}]*)\}", clause)
+    braces = re.search(r"[{]([^}]*)[}]", clause)
     if braces:
         out = []
-        for part in (clause[: braces.start()].strip().rstrip(",").strip(), braces[1].strip()):
+        for part in (clause[: braces.start()].strip(" ,\n\t"), braces[1].strip()):
             out += clause_symbols(part) if part else []
         return out or [(None, None)]
     if clause.startswith("*"):

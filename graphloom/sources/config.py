@@ -5,22 +5,14 @@ from __future__ import annotations
 
 import os
 import tomllib
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, make_dataclass
 
 NAME = ".graphloom.toml"
 
 
-@dataclass(frozen=True)
-class Weights:
-    mentioned_identifier: float = 1.0
-    mentioned_file: float = 1.0
-    chat_file: float = 1.0
-    query: float = 1.0
-    entrypoint: float = 1.0
-    public_api: float = 1.0
-    changed: float = 1.0
-    changed_neighbor: float = 1.0
-    related_test: float = 1.0
+NAMES = "chat_file mentioned_file mentioned_identifier query entrypoint public_api related_test changed changed_neighbor"
+#: One factor per signal, 1 by default.
+Weights = make_dataclass("Weights", [(n, float, 1.0) for n in NAMES.split()], frozen=True, module=__name__)
 
 
 @dataclass(frozen=True)
@@ -52,7 +44,7 @@ def load_config(root: str, name: str = NAME) -> Config:
         if not isinstance(value, list) or not all(isinstance(x, str) for x in value):
             notes.append(f"{key}: a list of strings is needed")
             return ()
-        clean = (x.strip().replace("\\", "/").removeprefix("./") for x in value)
+        clean = (x.replace("\\", "/").strip().removeprefix("./") for x in value)
         return tuple(dict.fromkeys(x.lower() if lower else x for x in clean if x))
 
     def section(key: str) -> dict:

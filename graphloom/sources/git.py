@@ -30,12 +30,12 @@ def branch(root: str) -> str:
 
 def changed_lines(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
     """(rel_path, line) of added, changed, moved and untracked lines under root."""
-    how = ("--unified=0", "--no-color", "--no-ext-diff", "--diff-filter=ACMR", "--relative")
+    how = ("--relative", "--no-ext-diff", "--no-color", "-U0", "--diff-filter=ACMR")
     diffs = [git(root, "diff", *how, f"{base}...HEAD")] if base else []
     diffs += [git(root, "diff", *how), git(root, "diff", *how, "--cached")]
     rows = diff_lines(spark.createDataFrame(list(enumerate(diffs)), "id int, text string"))
     new = []
-    for path in filter(None, git(root, "ls-files", "--others", "--exclude-standard", "-z").split("\0")):
+    for path in filter(None, git(root, *"ls-files -z --exclude-standard --others".split()).split("\0")):
         full = os.path.join(root, path)
         if os.path.isfile(full):
             with open(full, "rb") as f:
@@ -80,7 +80,7 @@ def test_command(paths: list[str], root_files: dict[str, str], python: str | Non
     if kinds == {".py"}:
         runner = python_runner(root_files, python)
         return f"pytest {quoted}" if runner == "pytest" else f"python -m unittest {quoted}" if runner == "unittest" else None
-    if kinds <= {".js", ".jsx", ".ts", ".tsx"}:
+    if kinds <= set(".ts .tsx .js .jsx".split()):
         runner = js_runner(root_files, js)
         return {"vitest": f"npx vitest run {quoted}", "jest": f"npx jest {quoted}", "mocha": f"npx mocha {quoted}"}.get(runner or "")
     return None

@@ -18,7 +18,7 @@ SCHEMA = "rel_path string, text string, mtime_ns long, size long"
 FILES_PER_PARTITION = 256
 
 
-def is_within(path: str, root: str) -> bool:
+def is_within(path: str | os.PathLike, root: str) -> bool:
     """S3: after resolving links, the path lies in root."""
     try:
         return os.path.commonpath((os.path.realpath(path), os.path.realpath(root))) == os.path.realpath(root)
