@@ -33,18 +33,22 @@ from .common import fresh, id_crc, id_text, saved, table
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE = 3000
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 72, 24
-DECAY, MAX_SPAN = 0.5, 6
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 64, 16
+DECAY, MAX_SPAN = 0.5, 5
 ROUNDS = 2
 COST = 100.0
 #: Kernel values are raised to this power, again a kernel, so that only near matches count.
 POWER = 4
+#: Values below this count as 0.
+NEGLIGIBLE = 0.03
 #: Letters are counted modulo this; the first code is the word's start.
 LETTERS = 64
 #: Words whose kernel values a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: Letters of a word compared at once; longer words are compared piece by piece.
 PIECE = 48
+#: Characters after which a group of texts is compared.
+GROUP_CHARS = 400_000
 
 _BREAK = re.compile(r"[.!?]+(?=\s|$)|\n+")
 _DROP = re.compile(r"[^\w\s\x00]+|[\d_]+")
@@ -63,32 +67,29 @@ def letters(words: list[str], width: int) -> np.ndarray:
     """Codes per word after a start mark; -1 beyond its end."""
     out = np.full((len(words), width + 1), -1, np.int64)
     out[:, 0] = 0
-    for k, w in enumerate(words):
-        own = np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(np.int64) % (LETTERS - 1) + 1
-        out[k, 1 : len(own) + 1] = own
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % (LETTERS - 1) + 1
+    r = np.repeat(np.arange(len(words)), n)
+    out[r, np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + 1] = flat
     return out
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, code, weight) with one row per word and code."""
     c = letters(words, max(map(len, words)))
-    rows, codes, weights = [], [], []
+    keys = []
     for a, b in GAPS:
         if c.shape[1] <= b:
             continue
         x, y, z = c[:, :-b], c[:, a : a - b], c[:, b:]
         r, k = np.nonzero(z >= 0)
-        rows.append(r)
-        codes.append((x[r, k] * LETTERS + y[r, k]) * LETTERS + z[r, k])
-        weights.append(np.full(len(r), DECAY ** (b + 1)))
-    if not rows:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0),)
-    key = np.concatenate(rows) * LETTERS**3 + np.concatenate(codes)
-    order = np.argsort(key, kind="stable")
-    key, w = key[order], np.concatenate(weights)[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    sums = np.add.reduceat(w, first) if len(first) else w
-    return key[first] // LETTERS**3, key[first] % LETTERS**3, sums
+        keys.append((((r * LETTERS + x[r, k]) * LETTERS + y[r, k]) * LETTERS + z[r, k]) * 8 + b)
+    key = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+    if not len(key):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    w, key = (DECAY ** np.arange(1, 9))[key & 7], key >> 3
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first] // LETTERS**3, key[first] % LETTERS**3, np.add.reduceat(w, first)
 
 
 class Kernel:
@@ -106,56 +107,86 @@ class Kernel:
         self.clear()
 
     def clear(self) -> None:
+        """Row 0 is the end of a sentence, row 1 a word that is like no landmark."""
         self.index: dict[str, int] = {"\0": 0}
         self.values = np.zeros((1024, len(self.landmarks)), np.float32)
-        self.used = 1
+        self.used = 2
 
-    def _compute(self, words: list[str]) -> np.ndarray:
+    def compute(self, words: list[str]) -> np.ndarray:
+        """Kernel values, 0 where all of a word's are below NEGLIGIBLE. A word's values are at
+        most the root of the share of its squared norm on codes that landmarks have, which is
+        tested first."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        pieces = [(k, w[i : i + PIECE]) for k, w in enumerate(words) for i in range(0, len(w), PIECE - MAX_SPAN)]
+        pieces = [(k, w[i : i + PIECE]) for k, w in enumerate(words) for i in range(0, max(len(w) - MAX_SPAN, 1), PIECE - MAX_SPAN)]
         for at in range(0, len(pieces), 2048):
             own = pieces[at : at + 2048]
             r, code, w = subsequences([p for _, p in own])
-            norm = np.sqrt(np.bincount(r, w * w, len(own)))
+            square = np.bincount(r, w * w, len(own))
             row = self.row[code]
-            hit = row > 0
+            shared = np.bincount(r, w * w * (row > 0), len(own))
+            hit = (row > 0) & (shared >= square * NEGLIGIBLE ** (2 / POWER))[r]
             if hit.any():
-                r, row, w = r[hit], row[hit], (w[hit] / norm[r[hit]]).astype(np.float32)
+                r, row, w = r[hit], row[hit], (w[hit] / np.sqrt(square[r[hit]])).astype(np.float32)
                 first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
                 sums = np.add.reduceat(self.table[row] * w[:, None], first, axis=0)
                 np.maximum.at(out, np.array([k for k, _ in own])[r[first]], sums)
-        return out**POWER
+        out **= POWER
+        out[out.max(axis=1) < NEGLIGIBLE] = 0
+        return out
 
     def of(self, words: list[str]) -> np.ndarray:
         """Row numbers in self.values, by word."""
-        if self.used > REMEMBERED:
+        if len(self.index) > REMEMBERED:
             self.clear()
         new = list({w for w in words if w not in self.index})
         if new:
-            k = self._compute(new)
-            if self.used + len(new) > len(self.values):
-                grown = np.zeros((2 * (self.used + len(new)), k.shape[1]), np.float32)
+            k = self.compute(new)
+            like = k.max(axis=1) > 0
+            n = int(like.sum())
+            if self.used + n > len(self.values):
+                grown = np.zeros((2 * (self.used + n), k.shape[1]), np.float32)
                 grown[: self.used] = self.values[: self.used]
                 self.values = grown
-            self.values[self.used : self.used + len(new)] = k
-            self.index.update(zip(new, range(self.used, self.used + len(new)), strict=True))
-            self.used += len(new)
+            self.values[self.used : self.used + n] = k[like]
+            at = np.ones(len(new), np.int64)
+            at[like] = np.arange(self.used, self.used + n)
+            self.index.update(zip(new, at.tolist(), strict=True))
+            self.used += n
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def sentences(self, text: str | None) -> np.ndarray:
-        """Features of each sentence with words, one row of zeros if there is none."""
+        """Features of the sentences that have a word like a landmark, and a row of zeros for
+        all others."""
         words = words_of(text)
-        if not words:
-            return np.zeros((1, len(self.landmarks)), np.float32)
-        out = []
+        out = [np.zeros((1, len(self.landmarks)), np.float32)]
         for at in range(0, len(words), 50_000):  # bounds the memory of one long text
             rows = self.of(words[at : at + 50_000])
-            ends = np.flatnonzero(rows == 0)
-            starts = np.r_[0, ends[ends < len(rows) - 1] + 1]
-            out.append(np.maximum.reduceat(self.values[rows], starts, axis=0))
+            sentence = np.cumsum(rows == 0)
+            like = np.flatnonzero(rows > 1)
+            if len(like):
+                s = sentence[like]
+                first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+                out.append(np.maximum.reduceat(self.values[rows[like]], first, axis=0))
         return np.concatenate(out)
 
 
+    def worst(self, texts: list[str], weights: np.ndarray) -> np.ndarray:
+        """The largest product of a sentence's features with the weights, by text."""
+        split = [words_of(t) for t in texts]
+        out = np.zeros(len(texts))  # a sentence of words like no landmark
+        flat = [w for own in split for w in (*own, "\0")]
+        ends = np.cumsum([len(own) + 1 for own in split])
+        for at in range(0, len(flat), 200_000):
+            rows = self.of(flat[at : at + 200_000])
+            like = np.flatnonzero(rows > 1)
+            if len(like):
+                s = np.cumsum(rows == 0)[like]
+                first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+                m = np.maximum.reduceat(self.values[rows[like]], first, axis=0) @ weights
+                np.maximum.at(out, np.searchsorted(ends, at + like[first], side="right"), m)
+        return out
+
+
 def root(k: np.ndarray) -> np.ndarray:
     """Inverse square root of a kernel matrix."""
     val, vec = np.linalg.eigh(k)
@@ -200,8 +231,16 @@ class Model:
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, a: float, b: float):
         self.landmarks, self.weights, self.bias, self.a, self.b = landmarks, weights, bias, a, b
 
-    def scores(self, kernel: Kernel, texts) -> np.ndarray:
-        margin = np.array([(kernel.sentences(t) @ self.weights).max() + self.bias for t in texts]) if self.landmarks else np.zeros(len(texts))
+    def scores(self, kernel: Kernel | None, texts) -> np.ndarray:
+        texts = list(texts)
+        margin = np.zeros(len(texts))
+        if self.landmarks:
+            at, size = 0, 0
+            for k, t in enumerate(texts):  # texts of some length are compared at once
+                size += len(t)
+                if size > GROUP_CHARS or k + 1 == len(texts):
+                    margin[at : k + 1] = kernel.worst(texts[at : k + 1], self.weights) + self.bias
+                    at, size = k + 1, 0
         return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -500, 500)))
 
 
@@ -240,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, id_col: str =
     if not marks:
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log(toxic / clean)))
     kernel = Kernel(marks)
-    to = root(kernel._compute(marks).astype(np.float64))
+    to = root(kernel.compute(marks).astype(np.float64))
 
     def features(weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
