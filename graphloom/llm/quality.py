@@ -31,6 +31,8 @@ MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 GRID = 256
 MIN_GROUP = 200
+#: Groups whose estimates are broadcast.
+SMALL = 4096
 #: Share of a group that a concentration step keeps, and number of steps.
 H, STEPS = 0.75, 4
 #: Squared distances are binned on a log scale, BINS_PER_E to a factor of e.
@@ -132,13 +134,18 @@ def distance(point: Column, centre: Column, inverse: Column) -> Column:
     return sum(terms[1:], terms[0])
 
 
+def small(fits: DataFrame) -> DataFrame:
+    """fits, to be broadcast if they are at most SMALL rows (a few MB); else joined by shuffle."""
+    return F.broadcast(fits) if fits.limit(SMALL + 1).count() <= SMALL else fits
+
+
 def concentrated(rows: DataFrame, fits: DataFrame, group: str, share: float) -> DataFrame:
     """One concentration step: estimates from the nearest share of each group."""
     d = len(DIMS)
     d2 = distance(F.col("point"), F.col("centre"), F.col("inverse"))
     at = F.floor(F.log(F.greatest(d2, F.lit(1e-6))) * BINS_PER_E).cast("int")
     sums = [F.sum(F.col("point")[i]).alias(f"s{i}") for i in range(d)] + [F.sum(F.col("point")[i] * F.col("point")[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
-    bins = rows.join(fits, group).groupBy(group, at.alias("bin")).agg(F.count("*").alias("n"), *sums)
+    bins = rows.join(small(fits), group).groupBy(group, at.alias("bin")).agg(F.count("*").alias("n"), *sums)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
@@ -167,7 +174,7 @@ def estimates(rows: DataFrame, group: str) -> DataFrame:
     start = rows.groupBy(group).agg(*quarters)
     spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOOR for i in range(d)]
     flat = F.array(*[F.lit(1.0) / spread[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
-    fits = start.select(group, F.array(*[F.col(f"q{i}")[1] for i in range(d)]).alias("centre"), flat.alias("inverse"))
+    fits = saved(start.select(group, F.array(*[F.col(f"q{i}")[1] for i in range(d)]).alias("centre"), flat.alias("inverse")))
     for _ in range(STEPS):
         fits = saved(concentrated(rows, fits.select(group, "centre", "inverse"), group, H))
     # distances to the last estimates give the scale
@@ -184,7 +191,7 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     rows = saved(grouped(rows, group, lang, source))
     fits = estimates(rows.filter(f"not base_failed and `{group}` is not null").select(group, "point"), group)
     far = distance(F.col("point"), F.col("centre"), F.col("inverse")) / F.greatest(F.col("median") / CHI2_MEDIAN, F.lit(1e-3))
-    out = rows.join(fits, group, "left").withColumn("distance", far)
+    out = rows.join(small(fits), group, "left").withColumn("distance", far)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUT))).drop(group, "point", "centre", "inverse", "median")
 
 
@@ -197,7 +204,7 @@ def keep_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source
     rows = grouped(rows.select("row", "lang", "source", "__s.*").filter(~base_failed()), group, "lang", "source")
     fits = estimates(saved(rows.filter(F.col(group).isNotNull()).select(group, "point")), group)
     far = distance(F.col("point"), F.col("centre"), F.col("inverse")) / F.greatest(F.col("median") / CHI2_MEDIAN, F.lit(1e-3))
-    return rows.join(fits, group, "left").filter(far.isNull() | (far <= CUT)).select([F.col(f"row.`{c}`").alias(c) for c in cols])
+    return rows.join(small(fits), group, "left").filter(far.isNull() | (far <= CUT)).select([F.col(f"row.`{c}`").alias(c) for c in cols])
 
 
 def op8_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
