@@ -25,6 +25,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,8 @@ SAMPLE_CHUNKS, SAMPLE_TOKENS = 4, 30_000
 #: Texts of a chunk, and bytes after which a chunk ends.
 CHUNK_TEXTS, CHUNK_BYTES = 4096, 8 << 20
 RANGE_ENTRIES = 4_000_000
+#: Chunks that a worker holds at once.
+CHUNKS_AT_ONCE = 2
 #: Sequences that step together.
 LANES = 512
 END = np.uint64(0x9D5C0F1A3B7E2468)
@@ -52,6 +55,18 @@ _U = zstandard.ZstdDecompressor()
 CHUNK = "chunk long, ids binary, held binary, lengths binary, tokens binary, words binary, counts binary, classes binary, n long, n_train long"
 
 
+@contextmanager
+def few_rows(spark: SparkSession, rows: int = CHUNKS_AT_ONCE):
+    """Arrow batches of a few rows, as a row here is a whole chunk."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def packed(x: np.ndarray) -> bytes:
     return _Z.compress(np.ascontiguousarray(x).tobytes())
 
@@ -349,11 +364,13 @@ def score_documents(docs: DataFrame, folder: str, id_col: str = "doc_id", text:
     chunks = spark.read.schema(CHUNK).parquet(f"{folder}/chunks")
     facts = chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.sum(F.octet_length("words")).alias("b")).first()
     total, ranges = facts["n"], max(8, -(-(facts["b"] or 0) // (8 * RANGE_ENTRIES)))
-    range_totals(chunks, ranges, folder)
+    with few_rows(spark):
+        range_totals(chunks, ranges, folder)
     totals = spark.read.schema("chunk long, range int, totals binary, best binary, by_class binary").parquet(f"{folder}/totals")
     best, by_class = corpus_facts(totals)
     vocabulary = int(by_class[1].sum())
-    encode_chunks(chunks, totals, Coder(best, by_class), folder)
+    with few_rows(spark):
+        encode_chunks(chunks, totals, Coder(best, by_class), folder)
     coded = spark.read.schema("chunk long, ids binary, held binary, lengths binary, symbols binary, sums binary").parquet(f"{folder}/coded")
     model = fit(coded)
     norm = float(np.log10(total + vocabulary + 1))
