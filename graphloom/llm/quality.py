@@ -116,15 +116,21 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
 
+def small(fits: DataFrame) -> DataFrame:
+    """fits, to be broadcast if they are at most SMALL rows (a few MB); else joined by shuffle."""
+    return F.broadcast(fits) if fits.limit(SMALL + 1).count() <= SMALL else fits
+
+
 def grouped(rows: DataFrame, group: str, lang: str, source: str) -> DataFrame:
     """rows with the group whose estimates judge them; null where none does."""
     l, s = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (lang, source))
-    sizes = rows.groupBy(l.alias("l"), s.alias("s")).agg(F.count("*").alias("n")).withColumn("g", F.when(F.col("n") >= MIN_GROUP, F.to_json(F.array("l", "s"))))
-    in_lang = F.sum(F.when(F.col("g").isNull(), F.col("n"))).over(Window.partitionBy("l"))
-    sizes = sizes.withColumn("g", F.when(F.col("g").isNull() & (in_lang >= MIN_GROUP), F.to_json(F.array("l"))).otherwise(F.col("g")))
+    sizes = rows.groupBy(l.alias("__gl"), s.alias("__gs")).agg(F.count("*").alias("n")).withColumn("g", F.when(F.col("n") >= MIN_GROUP, F.to_json(F.array("__gl", "__gs"))))
+    in_lang = F.sum(F.when(F.col("g").isNull(), F.col("n"))).over(Window.partitionBy("__gl"))
+    sizes = sizes.withColumn("g", F.when(F.col("g").isNull() & (in_lang >= MIN_GROUP), F.to_json(F.array("__gl"))).otherwise(F.col("g")))
     left = sizes.filter("g is null").agg(F.sum("n").alias("rest"))
-    sizes = sizes.crossJoin(F.broadcast(left)).select("l", "s", F.coalesce("g", F.when(F.col("rest") >= MIN_GROUP, F.lit("[]"))).alias(group))  # one row
-    return rows.join(sizes, (l == sizes.l) & (s == sizes.s)).drop("l", "s")
+    sizes = sizes.crossJoin(F.broadcast(left)).select("__gl", "__gs", F.coalesce("g", F.when(F.col("rest") >= MIN_GROUP, F.lit("[]"))).alias(group))  # one row
+    sizes = small(sizes)
+    return rows.join(sizes, (l == F.col("__gl")) & (s == F.col("__gs"))).drop("__gl", "__gs")
 
 
 def distance(point: Column, centre: Column, inverse: Column) -> Column:
@@ -134,11 +140,6 @@ def distance(point: Column, centre: Column, inverse: Column) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def small(fits: DataFrame) -> DataFrame:
-    """fits, to be broadcast if they are at most SMALL rows (a few MB); else joined by shuffle."""
-    return F.broadcast(fits) if fits.limit(SMALL + 1).count() <= SMALL else fits
-
-
 def concentrated(rows: DataFrame, fits: DataFrame, group: str, share: float) -> DataFrame:
     """One concentration step: estimates from the nearest share of each group."""
     d = len(DIMS)
@@ -200,8 +201,9 @@ def keep_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source
     cols = docs.columns
     (group,) = fresh(docs, "group")
     row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
-    rows = docs.select(row, F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), with_statistics(F.col(f"`{text}`")).alias("__s"))
-    rows = grouped(rows.select("row", "lang", "source", "__s.*").filter(~base_failed()), group, "lang", "source")
+    rows = docs.select(row, F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
+    rows = grouped(rows, group, "lang", "source")  # before the statistics, so that sizes don't need them
+    rows = rows.select("row", group, with_statistics(F.col(f"row.`{text}`")).alias("__s")).select("row", group, "__s.*").filter(~base_failed())
     fits = estimates(saved(rows.filter(F.col(group).isNotNull()).select(group, "point")), group)
     far = distance(F.col("point"), F.col("centre"), F.col("inverse")) / F.greatest(F.col("median") / CHI2_MEDIAN, F.lit(1e-3))
     return rows.join(small(fits), group, "left").filter(far.isNull() | (far <= CUT)).select([F.col(f"row.`{c}`").alias(c) for c in cols])
