@@ -33,22 +33,22 @@ from .common import fresh, id_crc, id_text, saved, table
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE = 3000
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 64, 16
-DECAY, MAX_SPAN = 0.5, 5
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 72, 24
+DECAY, MAX_SPAN = 0.5, 6
 ROUNDS = 2
 COST = 100.0
 #: Kernel values are raised to this power, again a kernel, so that only near matches count.
 POWER = 4
-#: Values below this count as 0.
-NEGLIGIBLE = 0.03
 #: Letters are counted modulo this; the first code is the word's start.
 LETTERS = 64
 #: Words whose kernel values a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Letters of a word compared at once; longer words are compared piece by piece.
 PIECE = 48
 #: Characters after which a group of texts is compared.
 GROUP_CHARS = 400_000
+#: Words whose values are gathered at once.
+STEP = 20_000
 
 _BREAK = re.compile(r"[.!?]+(?=\s|$)|\n+")
 _DROP = re.compile(r"[^\w\s\x00]+|[\d_]+")
@@ -63,6 +63,11 @@ def words_of(text: str | None) -> list[str]:
     return t.split()
 
 
+def ended(words: list[str]) -> list[str]:
+    """With a mark after the last sentence."""
+    return words if words and words[-1] == "\0" else [*words, "\0"]
+
+
 def letters(words: list[str], width: int) -> np.ndarray:
     """Codes per word after a start mark; -1 beyond its end."""
     out = np.full((len(words), width + 1), -1, np.int64)
@@ -107,15 +112,14 @@ class Kernel:
         self.clear()
 
     def clear(self) -> None:
-        """Row 0 is the end of a sentence, row 1 a word that is like no landmark."""
+        """Row 0 is the end of a sentence, row 1 a word that shares no code with a landmark."""
         self.index: dict[str, int] = {"\0": 0}
         self.values = np.zeros((1024, len(self.landmarks)), np.float32)
         self.used = 2
 
     def compute(self, words: list[str]) -> np.ndarray:
-        """Kernel values, 0 where all of a word's are below NEGLIGIBLE. A word's values are at
-        most the root of the share of its squared norm on codes that landmarks have, which is
-        tested first."""
+        """Kernel values. They are 0 for words that share no code with a landmark, whose products
+        are left out."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         pieces = [(k, w[i : i + PIECE]) for k, w in enumerate(words) for i in range(0, max(len(w) - MAX_SPAN, 1), PIECE - MAX_SPAN)]
         for at in range(0, len(pieces), 2048):
@@ -123,16 +127,13 @@ class Kernel:
             r, code, w = subsequences([p for _, p in own])
             square = np.bincount(r, w * w, len(own))
             row = self.row[code]
-            shared = np.bincount(r, w * w * (row > 0), len(own))
-            hit = (row > 0) & (shared >= square * NEGLIGIBLE ** (2 / POWER))[r]
+            hit = row > 0
             if hit.any():
                 r, row, w = r[hit], row[hit], (w[hit] / np.sqrt(square[r[hit]])).astype(np.float32)
                 first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
                 sums = np.add.reduceat(self.table[row] * w[:, None], first, axis=0)
                 np.maximum.at(out, np.array([k for k, _ in own])[r[first]], sums)
-        out **= POWER
-        out[out.max(axis=1) < NEGLIGIBLE] = 0
-        return out
+        return out**POWER
 
     def of(self, words: list[str]) -> np.ndarray:
         """Row numbers in self.values, by word."""
@@ -154,36 +155,31 @@ class Kernel:
             self.used += n
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
-    def sentences(self, text: str | None) -> np.ndarray:
-        """Features of the sentences that have a word like a landmark, and a row of zeros for
-        all others."""
-        words = words_of(text)
-        out = [np.zeros((1, len(self.landmarks)), np.float32)]
-        for at in range(0, len(words), 50_000):  # bounds the memory of one long text
-            rows = self.of(words[at : at + 50_000])
-            sentence = np.cumsum(rows == 0)
-            like = np.flatnonzero(rows > 1)
-            if len(like):
-                s = sentence[like]
-                first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-                out.append(np.maximum.reduceat(self.values[rows[like]], first, axis=0))
-        return np.concatenate(out)
+    def spans(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(positions of sentences' end marks, features of the sentences). The last word is a mark."""
+        begun = np.zeros(len(self.landmarks), np.float32)
+        for at in range(0, len(words), STEP):  # bounds the memory of one long text
+            rows = self.of(words[at : at + STEP])
+            values, ends = self.values[rows], np.flatnonzero(rows == 0)
+            if not len(ends):
+                begun = np.maximum(begun, values.max(axis=0))
+                continue
+            out = np.maximum.reduceat(values[: ends[-1] + 1], np.r_[0, ends[:-1] + 1], axis=0)
+            out[0] = np.maximum(out[0], begun)
+            begun = values[ends[-1] :].max(axis=0)
+            yield at + ends, out
 
+    def sentences(self, text: str | None) -> np.ndarray:
+        """Features of each sentence, one row of zeros if the text has no words."""
+        return np.concatenate([x for _, x in self.spans(ended(words_of(text)))])
 
     def worst(self, texts: list[str], weights: np.ndarray) -> np.ndarray:
         """The largest product of a sentence's features with the weights, by text."""
-        split = [words_of(t) for t in texts]
-        out = np.zeros(len(texts))  # a sentence of words like no landmark
-        flat = [w for own in split for w in (*own, "\0")]
-        ends = np.cumsum([len(own) + 1 for own in split])
-        for at in range(0, len(flat), 200_000):
-            rows = self.of(flat[at : at + 200_000])
-            like = np.flatnonzero(rows > 1)
-            if len(like):
-                s = np.cumsum(rows == 0)[like]
-                first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-                m = np.maximum.reduceat(self.values[rows[like]], first, axis=0) @ weights
-                np.maximum.at(out, np.searchsorted(ends, at + like[first], side="right"), m)
+        split = [ended(words_of(t)) for t in texts]
+        out = np.full(len(texts), -np.inf)
+        ends = np.cumsum([len(own) for own in split])
+        for at, x in self.spans([w for own in split for w in own]):
+            np.maximum.at(out, np.searchsorted(ends, at, side="right"), x @ weights)
         return out
 
 

@@ -225,6 +225,29 @@ def test_toxicity_learns_and_tolerates_gaps(spark):
     assert toxicity.score_toxicity(d.limit(0), lab).count() == 0
 
 
+def test_kernel_values_are_whole_and_a_text_scores_as_its_worst_sentence():
+    def weights(word):
+        c, out = [0, *(ord(x) % (toxicity.LETTERS - 1) + 1 for x in word)], Counter()
+        for i in range(len(c)):
+            for j in range(i + 1, len(c)):
+                for k in range(j + 1, min(len(c), i + 6)):
+                    out[c[i], c[j], c[k]] += 0.5 ** (k - i + 1)
+        return out
+
+    def value(a, b):
+        a, b = weights(a), weights(b)
+        return (sum(a[x] * b[x] for x in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))) ** 4
+
+    marks, words = ["idiot", "moron"], ["idxixot", "ixdxiot", "idiot", "meron", "zzz", "i"]
+    k = toxicity.Kernel(marks)
+    expected = [[value(w, m) if weights(w) else 0.0 for m in marks] for w in words]
+    assert np.allclose(k.compute(words), expected, rtol=1e-4, atol=0) and all(0 < x[0] < 0.03 for x in expected[:2])
+    v = np.array([-1.0, -1.0], np.float32)
+    texts = ["idiot. moron.", "idiot. zzz.", "", "moron"]
+    assert np.allclose(k.worst(texts, v), [(k.sentences(t) @ v).max() for t in texts])
+    assert k.worst(texts, v)[0] < -0.9 and k.worst(texts, v)[1] == 0 and k.worst(texts, v)[2] == 0
+
+
 def test_quality_statistics_and_outliers(spark, docs, rows, empty):
     def brute(t):
         w = (t or "").encode().split()
