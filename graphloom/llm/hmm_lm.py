@@ -327,9 +327,7 @@ def fit(coded: DataFrame) -> Hmm:
         sample_s.append(np.frombuffer(r["s"], np.uint16))
         sample_n.append(np.frombuffer(r["n"], np.int64))
     s, n = np.concatenate(sample_s), np.concatenate(sample_n)
-    if not len(n):
-        return model
-    for _ in range(SAMPLE_ROUNDS):
+    for _ in range(SAMPLE_ROUNDS if len(n) else 0):  # no text may fit the sample
         model = Hmm.from_counts(*model.expected(s, n))
 
     def sums(model: Hmm):
@@ -352,6 +350,8 @@ def fit(coded: DataFrame) -> Hmm:
 
     for _ in range(ROUNDS):
         parts = rows.mapInPandas(sums(model), "part int, v binary").groupBy("part").applyInPandas(fold, "v binary").collect()
+        if not parts:  # no training texts
+            return model
         model = Hmm.from_counts(*Hmm.unpack(sum(np.frombuffer(r["v"]) for r in parts).tobytes()))
     return model
 

@@ -305,6 +305,14 @@ def test_language_model(spark, docs, rows, empty, tmp_path):
     assert hmm_lm.score_documents(empty, str(tmp_path / "b")).count() == 0
 
 
+def test_a_training_text_longer_than_the_sample_is_learnt(spark, tmp_path):
+    i = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2)
+    d = spark.createDataFrame([(i, "red blue " * 16000)], "doc_id long, text string")
+    out = hmm_lm.score_documents(d, str(tmp_path / "long")).first()
+    assert out["n_tokens"] == out["train_tokens"] == 32001
+    assert out["score"] / out["n_tokens"] > -1  # the untrained model gives each word some 1 in 1500
+
+
 def test_forward_recursion_is_exact_and_counts_add_up():
     rng = np.random.default_rng(3)
     m = hmm_lm.Hmm.initial(1)
