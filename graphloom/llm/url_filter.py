@@ -66,7 +66,8 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, follow: int = FOLLOW, units: int = UNITS) -> DataFrame:
     """(host, kind, mass). seeds: host, kind ('trust' or 'distrust'), weight > 0. Trust
-    follows the links, distrust goes against them. Mass of a host without links restarts."""
+    follows the links, distrust goes against them. The
+    followed mass of a host without links of its kind restarts in proportion to the seeds."""
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     total = both.groupBy("kind", "src").agg(F.sum("n").alias("out"))
     edges = saved(both.join(total, ["kind", "src"]))
@@ -75,13 +76,17 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, follow:
     mass = start.withColumnRenamed("base", "mass")
     if edges.isEmpty():
         return mass
-    for step in range(rounds):
-        step_mass = F.expr(f"cast((cast(mass as decimal(38,0)) * {follow} * n) div (100 * out) as bigint)")
-        flow = mass.withColumnRenamed("host", "src").join(edges, ["src", "kind"]).select(F.col("dst").alias("host"), "kind", step_mass.alias("mass"))
-        back = start.select("host", "kind", F.expr(f"(base * {100 - follow}) div 100").alias("mass"))
-        mass = flow.unionByName(back).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
-        if step % 4 == 3:
-            mass = saved(mass)
+    seeded = start.groupBy("kind").agg(F.sum("base").alias("seeded"))
+    start = saved(start.join(F.broadcast(seeded), "kind"))  # one row per kind
+    step_mass = F.expr(f"cast((cast(mass as decimal(38,0)) * {follow} * n) div (100 * out) as bigint)")
+    for _ in range(rounds):
+        # without links dst is null, so their mass meets in one row per kind
+        step = mass.withColumnRenamed("host", "src").join(edges, ["src", "kind"], "left")
+        flow = saved(step.groupBy(F.col("dst").alias("host"), "kind").agg(F.sum(F.when(F.col("dst").isNull(), F.col("mass")).otherwise(step_mass)).alias("mass")))
+        lost = flow.filter("host is null").select("kind", F.col("mass").alias("lost"))
+        again = F.expr(f"(base * {100 - follow}) div 100 + cast((cast(base as decimal(38,0)) * {follow} * coalesce(lost, 0)) div (100 * cast(greatest(seeded, 1) as decimal(38,0))) as bigint)")
+        back = start.join(F.broadcast(lost), "kind", "left").select("host", "kind", again.alias("mass"))
+        mass = flow.filter("host is not null").unionByName(back).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
     return mass
 
 

@@ -186,6 +186,29 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(d.limit(0)).count() == 0
 
 
+def test_mass_of_hosts_without_links_restarts(spark):
+    to = "".join(f'<a href="http://{h}.net/">' for h in ["s", *(f"leaf{k}" for k in range(9))])
+    rows = [(1, "http://h.com/fr/a", to), (2, "http://h.com/de/a", ""), (3, "http://h.com/x", ""), (4, "http://s.net/", '<a href="http://h.com/">')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages).collect()}
+    assert got == {1: "allow", 2: "block", 3: "allow", 4: "block"}
+    links = url_filter.host_links(pages.select(url_filter.host_of(F.col("url")).alias("host"), "html"))
+    seeds = spark.createDataFrame([("h.com", "trust", 1), ("h.com", "distrust", 1)], "host string, kind string, weight long")
+    mass = {(r["host"], r["kind"]): r["mass"] for r in url_filter.propagate(links, seeds).collect()}
+    trust, base = {"h.com": 1.0}, {"h.com": 1.0}
+    out = {"h.com": ["s.net", *(f"leaf{k}.net" for k in range(9))], "s.net": ["h.com"]}
+    for _ in range(url_filter.ROUNDS):
+        lost, new = sum(m for h, m in trust.items() if h not in out), Counter()
+        for h, m in trust.items():
+            for d in out.get(h, []):
+                new[d] += 0.85 * m / len(out[h])
+        for h, b in base.items():
+            new[h] += b * (0.15 + 0.85 * lost)
+        trust = new
+    assert all(mass[h, "trust"] == pytest.approx(m * url_filter.UNITS, rel=1e-6) for h, m in trust.items())
+    assert sum(m for (_, k), m in mass.items() if k == "trust") == pytest.approx(url_filter.UNITS, rel=1e-6)
+
+
 def test_neighbours_are_exact(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(700, 8)).astype(np.float32)
