@@ -5,9 +5,9 @@ TOP commonest training words, and for other words one of CLASSES classes by thei
 The model is p(text) = p(symbols) * product of p(word | its class), where p(symbols) is a hidden
 Markov model over STATES latent states, and a class's words are smoothed counts,
 (c + 1) / (class tokens + class words + 1), the last 1 being the words never seen. Baum-Welch
-starts from a fit on a bounded sample (SAMPLE_CHUNKS, SAMPLE_TOKENS; on the driver) and then takes ROUNDS
-steps whose expected counts are summed over all training texts, partition by partition, in sums of
-fixed size. Scoring runs the scaled forward recursion over the whole text, which is exact.
+starts from a fit on texts chosen by hash over the whole table (SAMPLE_TOKENS; on the driver) and then
+takes steps over all training texts until the likelihood settles (SETTLED). Their expected counts are
+summed partition by partition, in sums of fixed size. Scoring runs the scaled forward recursion over the whole text, which is exact.
 
 Word counts cover all training texts and never leave the executors. Texts come in chunks; a chunk
 stores its distinct words once, as sorted 64-bit hashes, and each token as a position among them.
@@ -39,9 +39,11 @@ from .common import id_crc, shared_dir, table
 FOLDS, HELD_OUT = 7, 2
 STATES, TOP, CLASSES = 8, 1000, 512
 SYMBOLS = 1 + TOP + CLASSES
-ROUNDS, SAMPLE_ROUNDS = 3, 25
-#: The first fit takes whole texts from SAMPLE_CHUNKS chunks, until each has given so many tokens.
-SAMPLE_CHUNKS, SAMPLE_TOKENS = 4, 30_000
+SAMPLE_ROUNDS = 25
+#: Baum-Welch over all training texts ends when a round gains less than this share of the log-likelihood.
+SETTLED = 1e-4
+#: The start takes whole texts by hash over the whole table, some SAMPLE_TOKENS tokens in all.
+SAMPLE_TOKENS = 120_000
 #: Texts of a chunk, and bytes after which a chunk ends.
 CHUNK_TEXTS, CHUNK_BYTES = 4096, 8 << 20
 RANGE_ENTRIES = 4_000_000
@@ -240,6 +242,11 @@ class Hmm:
 
     def expected(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and emissions."""
+        return self.expected_and_likelihood(symbols, lengths)[:3]
+
+    def expected_and_likelihood(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """And the log10 likelihood of all sequences."""
+        likelihood = 0.0
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES))
         by_symbol = np.ascontiguousarray(self.emit.T)
         for own, x, n in self.lanes(symbols, lengths):
@@ -250,6 +257,7 @@ class Hmm:
                 p = (alphas[-1][:m] @ self.move if t else np.broadcast_to(self.start, (m, STATES))) * by_symbol[x[t, :m]]
                 scales.append(p.sum(1))
                 alphas.append(p / scales[-1][:, None])
+            likelihood += float(np.log10(np.concatenate(scales)).sum())
             beta = np.ones((0, STATES))
             gammas: list = [None] * len(x)
             for t in range(len(x) - 1, -1, -1):
@@ -266,7 +274,7 @@ class Hmm:
             seen, g = np.concatenate([x[t, : live[t]] for t in range(len(x))]), np.concatenate(gammas)
             for s in range(STATES):
                 emit[:, s] += np.bincount(seen, g[:, s], SYMBOLS)
-        return start, move * self.move, emit.T
+        return start, move * self.move, emit.T, likelihood
 
     @staticmethod
     def from_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Hmm:
@@ -308,22 +316,34 @@ def training_part(held: bytes, lengths: bytes, symbols: bytes) -> tuple[np.ndarr
     return s[np.repeat(keep, n)], n[keep]
 
 
-def fit(coded: DataFrame) -> Hmm:
+def fit(coded: DataFrame, rounds: list[float] | None = None) -> Hmm:
+    """The log10 likelihood of all training texts before each whole round is added to rounds."""
+    rounds = [] if rounds is None else rounds
     rows = coded.select("held", "lengths", "symbols")
     model = Hmm.initial()
     sample_s, sample_n = [np.empty(0, np.uint16)], [np.empty(0, np.int64)]
 
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"n": [sum(int(training_part(*own)[1].sum()) for own in zip(pdf["held"], pdf["lengths"], pdf["symbols"], strict=True))]})
+
+    tokens = rows.mapInPandas(sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = min(1.0, SAMPLE_TOKENS / max(tokens, 1))
+
     def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for held, lengths, symbols in zip(pdf["held"], pdf["lengths"], pdf["symbols"], strict=True):
+            for ids, held, lengths, symbols in zip(pdf["ids"], pdf["held"], pdf["lengths"], pdf["symbols"], strict=True):
                 s, n = training_part(held, lengths, symbols)
                 starts = np.cumsum(n) - n
-                pick = np.random.default_rng(1).permutation(len(n))
-                pick = pick[np.cumsum(n[pick]) <= SAMPLE_TOKENS]
-                own = np.concatenate([np.empty(0, np.uint16), *(s[a : a + b] for a, b in zip(starts[pick], n[pick], strict=True))])
-                yield pd.DataFrame([(own.tobytes(), n[pick].tobytes())], columns=["s", "n"])
-
-    for r in coded.orderBy("chunk").limit(SAMPLE_CHUNKS).select("held", "lengths", "symbols").mapInPandas(few, "s binary, n binary").collect():
+                own_ids = unpacked(ids, np.int64).reshape(2, -1)[0][~unpacked(held, bool)]
+                own_text = np.add.reduceat(pd.util.hash_array(s.astype(np.uint64) << np.uint64(32) | np.arange(len(s), dtype=np.uint64) - np.repeat(starts, n).astype(np.uint64)), starts) if len(n) else np.empty(0, np.uint64)
+                at = pd.util.hash_array(pd.util.hash_array(own_ids.view(np.uint64)) ^ own_text) / 2.0**64
+                pick = np.flatnonzero((at < share) & (n <= SAMPLE_TOKENS))  # longer ones wait for the whole rounds
+                if len(pick):
+                    own = np.concatenate([s[a : a + b] for a, b in zip(starts[pick], n[pick], strict=True)])
+                    yield pd.DataFrame([(own.tobytes(), n[pick].tobytes())], columns=["s", "n"])
+
+    for r in coded.select("ids", "held", "lengths", "symbols").mapInPandas(few, "s binary, n binary").collect():
         sample_s.append(np.frombuffer(r["s"], np.uint16))
         sample_n.append(np.frombuffer(r["n"], np.int64))
     s, n = np.concatenate(sample_s), np.concatenate(sample_n)
@@ -337,8 +357,8 @@ def fit(coded: DataFrame) -> Hmm:
                 for own in zip(pdf["held"], pdf["lengths"], pdf["symbols"], strict=True):
                     s, n = training_part(*own)
                     if len(n):
-                        c = Hmm(*model.expected(s, n))
-                        v = np.frombuffer(c.pack())
+                        *c, likelihood = model.expected_and_likelihood(s, n)
+                        v = np.r_[np.frombuffer(Hmm(*c).pack()), likelihood]
                         total, seen = (v if total is None else total + v), seen + len(n)
             if seen:
                 yield pd.DataFrame({"part": [TaskContext.get().partitionId() % 16], "v": [total.tobytes()]})
@@ -348,12 +368,15 @@ def fit(coded: DataFrame) -> Hmm:
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"v": [sum(np.frombuffer(x) for x in pdf["v"]).tobytes()]})
 
-    for _ in range(ROUNDS):
+    while True:
         parts = rows.mapInPandas(sums(model), "part int, v binary").groupBy("part").applyInPandas(fold, "v binary").collect()
         if not parts:  # no training texts
             return model
-        model = Hmm.from_counts(*Hmm.unpack(sum(np.frombuffer(r["v"]) for r in parts).tobytes()))
-    return model
+        v = sum(np.frombuffer(r["v"]) for r in parts)
+        rounds.append(float(v[-1]))
+        model = Hmm.from_counts(*Hmm.unpack(v[:-1].tobytes()))
+        if len(rounds) > 1 and rounds[-1] - rounds[-2] <= SETTLED * abs(rounds[-2]):
+            return model
 
 
 def score_documents(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:

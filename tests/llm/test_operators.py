@@ -336,6 +336,21 @@ def test_a_training_text_longer_than_the_sample_is_learnt(spark, tmp_path):
     assert out["score"] / out["n_tokens"] > -1  # the untrained model gives each word some 1 in 1500
 
 
+def test_training_goes_on_until_the_likelihood_settles(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    text = lambda a: " ".join(r.choice(a) for _ in range(r.randint(5, 60)))
+    out = [(k, text(["red", "blue", "green"] if k < 300 else ["up", "down", "left", "right"])) for k in range(600)]
+    d = spark.createDataFrame(out, "doc_id long, text string").repartition(4)
+    hmm_lm.score_documents(d, str(tmp_path / "c"))
+    coded, rounds = spark.read.parquet(str(tmp_path / "c" / "coded")), []
+    monkeypatch.setattr(hmm_lm, "SAMPLE_ROUNDS", 0)
+    model = hmm_lm.fit(coded, rounds)
+    gains = np.diff(rounds) / np.abs(rounds[:-1])
+    assert len(rounds) > 3 and (gains[:-1] > hmm_lm.SETTLED).all() and gains[-1] <= hmm_lm.SETTLED
+    x = [hmm_lm.training_part(*row) for row in coded.select("held", "lengths", "symbols").collect()]
+    assert sum(model.forward(s, n).sum() for s, n in x) >= rounds[-1] - hmm_lm.SETTLED * abs(rounds[-1])
+
+
 def test_forward_recursion_is_exact_and_counts_add_up():
     rng = np.random.default_rng(3)
     m = hmm_lm.Hmm.initial(1)
