@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 #: A word: a run of bytes other than space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no shared checkpoint folder (tests).
+#: Used only where the session names no shared checkpoint folder and its master is local (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Bytes of an Arrow batch, so that a worker's batch is bounded by its size and not by its rows.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = LOCAL_CHECKPOINTS
         os.makedirs(found, exist_ok=True)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -28,6 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bound the session's Arrow batches by bytes. A smaller bound that is set already stays. The
+    setting is read when a plan runs, which may be after an operator has returned, so it is left set;
+    it changes no result."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= most:
+        spark.conf.set(key, str(most))
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage."""
     shared_dir(df.sparkSession)

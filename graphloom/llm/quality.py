@@ -3,17 +3,20 @@
 Base rules count words, symbols, repeated lines and repeated 8-word windows of whole texts. On
 top, each text's transformed statistics are a vector, and texts far from the robust centre of
 their language and source are rejected. Centre and scatter are minimum-covariance-determinant
-estimates: from coordinate-wise medians, each concentration step keeps the H nearest share of a
-group and takes their mean and covariance, over all rows. A step is one aggregation of counts,
-sums and products by (group, distance bin), so a source with a third of all rows is summed before
-it is shuffled. Coordinates are rounded to a grid of 1/256, which makes all sums exact and reruns
-equal. Variances have a floor, so a statistic that hardly varies in a group can't reject alone.
+estimates: from three starts, each concentration step keeps the H nearest share of a group and takes
+their mean and covariance, over all rows; the start of the least determinant goes on until the
+determinant settles, and the least determinant met is the estimate. A step is one aggregation of
+counts, sums and products by (group, distance bin), so a source with a third of all rows is summed
+before it is shuffled; the share is met to a bin, about 3 % of a squared distance. Coordinates are
+rounded to a grid of 1/256, which makes all sums exact and reruns equal. Variances have a floor, so a
+statistic that hardly varies in a group can't reject alone.
 
-A (language, source) group of fewer than MIN_GROUP rows is judged with its language's other small
-groups, these, if still too few, with all rows left, and if still too few, not rejected.
+Estimates are made for each (language, source), each language and all rows, and drawn towards those
+of the group above by the weight of PRIOR rows, so that a small group is judged mostly as its language.
 
 Nulls: a null text has no words (and so fails the base rules); null language and source are groups
-like any other. Repeated rows count as often as they occur. An empty table gives no rows.
+like any other. Repeated rows count as often as they occur. Other columns of the input may have any
+names; only those of the results give way. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,21 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, saved, table
+from .common import fresh, saved, small_batches, table
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 GRID = 256
-MIN_GROUP = 200
+#: How many rows the group above counts as when a group's estimates are drawn towards its.
+PRIOR = 100
 #: Groups whose estimates are broadcast.
 SMALL = 4096
-#: Share of a group that a concentration step keeps, and number of steps.
-H, STEPS = 0.75, 4
+#: Share of a group that a concentration step keeps, and steps before the best start is chosen.
+H, FIRST_STEPS = 0.75, 2
+#: Steps end when no group's log determinant falls by more.
+SETTLED = 1e-3
 #: Squared distances are binned on a log scale, BINS_PER_E to a factor of e.
-BINS_PER_E = 8
+BINS_PER_E = 32
 FLOOR = 0.02
 #: Squared distance, scaled so that the group's median is a chi-square's, beyond which a text goes.
 CUT = 200.0
@@ -121,16 +127,10 @@ def small(fits: DataFrame) -> DataFrame:
     return F.broadcast(fits) if fits.limit(SMALL + 1).count() <= SMALL else fits
 
 
-def grouped(rows: DataFrame, group: str, lang: str, source: str) -> DataFrame:
-    """rows with the group whose estimates judge them; null where none does."""
-    l, s = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (lang, source))
-    sizes = rows.groupBy(l.alias("__gl"), s.alias("__gs")).agg(F.count("*").alias("n")).withColumn("g", F.when(F.col("n") >= MIN_GROUP, F.to_json(F.array("__gl", "__gs"))))
-    in_lang = F.sum(F.when(F.col("g").isNull(), F.col("n"))).over(Window.partitionBy("__gl"))
-    sizes = sizes.withColumn("g", F.when(F.col("g").isNull() & (in_lang >= MIN_GROUP), F.to_json(F.array("__gl"))).otherwise(F.col("g")))
-    left = sizes.filter("g is null").agg(F.sum("n").alias("rest"))
-    sizes = sizes.crossJoin(F.broadcast(left)).select("__gl", "__gs", F.coalesce("g", F.when(F.col("rest") >= MIN_GROUP, F.lit("[]"))).alias(group))  # one row
-    sizes = small(sizes)
-    return rows.join(sizes, (l == F.col("__gl")) & (s == F.col("__gs"))).drop("__gl", "__gs")
+def levels(lang: Column, source: Column) -> Column:
+    """The keys of a row's groups: all rows, its language, its language and source."""
+    l, s = (F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in (lang, source))
+    return F.array(F.lit("[]"), F.to_json(F.array(l)), F.to_json(F.array(l, s)))
 
 
 def distance(point: Column, centre: Column, inverse: Column) -> Column:
@@ -140,73 +140,179 @@ def distance(point: Column, centre: Column, inverse: Column) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def concentrated(rows: DataFrame, fits: DataFrame, group: str, share: float) -> DataFrame:
-    """One concentration step: estimates from the nearest share of each group."""
+def pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(DIMS)) for j in range(i, len(DIMS))]
+
+
+def square(row, name: str, total: float) -> np.ndarray:
+    """The symmetric matrix of a row's columns <name>i_j, divided by total."""
+    out = np.empty((len(DIMS), len(DIMS)))
+    for i, j in pairs():
+        out[i, j] = out[j, i] = row[f"{name}{i}_{j}"] / total
+    return out
+
+
+def fitted(group: str, start: int, n: int, centre: np.ndarray, cov: np.ndarray) -> tuple:
+    cov = cov + np.eye(len(DIMS)) * FLOOR
+    return group, start, int(n), float(np.linalg.slogdet(cov)[1]), centre.tolist(), cov.ravel().tolist(), np.linalg.inv(cov).ravel().tolist()
+
+
+FIT = "g string, start int, n long, logdet double, centre array<double>, cov array<double>, inverse array<double>"
+FIT_COLUMNS = [x.split()[0] for x in FIT.split(", ")]
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Three starts of each group: medians with quartile ranges, medians with the scatter of the
+    directions from them, and means with covariances. rows: g, point."""
+    d = len(DIMS)
+    quarters = [F.percentile(F.col("point")[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(d)]
+    middle = saved(rows.groupBy("g").agg(*quarters))  # grid values are few, so percentiles are exact and small
+    x = [F.col("point")[i] for i in range(d)]
+    off = [x[i] - F.col(f"q{i}")[1] for i in range(d)]
+    scale = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR**0.5)) for i in range(d)]
+    length = sum((F.pow(off[i] / scale[i], 2) for i in range(1, d)), F.pow(off[0] / scale[0], 2))
+    whole = lambda c: F.round(c * (1 << 20)).cast("long")  # noqa: E731  (sums of whole numbers don't depend on their order)
+    sums = [F.sum(x[i]).alias(f"s{i}") for i in range(d)] + [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs()]
+    sums += [F.sum(whole(off[i] * off[j] / F.greatest(length, F.lit(1e-3)))).alias(f"u{i}_{j}") for i, j in pairs()]
+    got = rows.join(small(middle), "g").groupBy("g").agg(F.count("*").alias("n"), *sums).join(middle, "g")
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                q = np.array([r[f"q{i}"] for i in range(d)], float)
+                spread = ((q[:, 2] - q[:, 0]) / 1.349) ** 2
+                mean = np.array([r[f"s{i}"] for i in range(d)]) / r["n"]
+                signs = square(r, "u", r["n"] * (1 << 20)) * d
+                out.append(fitted(r["g"], 0, r["n"], q[:, 1], np.diag(spread)))
+                out.append(fitted(r["g"], 1, r["n"], q[:, 1], signs))
+                out.append(fitted(r["g"], 2, r["n"], mean, square(r, "p", r["n"]) - np.outer(mean, mean)))
+            yield pd.DataFrame(out, columns=FIT_COLUMNS)
+
+    return saved(got.mapInPandas(make, FIT))
+
+
+def binned(d2: Column) -> Column:
+    return F.floor(F.log(F.greatest(d2, F.lit(1e-6))) * BINS_PER_E).cast("int")
+
+
+def concentrated(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """One concentration step: estimates from the nearest share of each group, for each start."""
     d = len(DIMS)
-    d2 = distance(F.col("point"), F.col("centre"), F.col("inverse"))
-    at = F.floor(F.log(F.greatest(d2, F.lit(1e-6))) * BINS_PER_E).cast("int")
-    sums = [F.sum(F.col("point")[i]).alias(f"s{i}") for i in range(d)] + [F.sum(F.col("point")[i] * F.col("point")[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
-    bins = rows.join(small(fits), group).groupBy(group, at.alias("bin")).agg(F.count("*").alias("n"), *sums)
+    at = binned(distance(F.col("point"), F.col("centre"), F.col("inverse")))
+    sums = [F.sum(F.col("point")[i]).alias(f"s{i}") for i in range(d)] + [F.sum(F.col("point")[i] * F.col("point")[j]).alias(f"p{i}_{j}") for i, j in pairs()]
+    bins = rows.join(small(fits.select("g", "start", "centre", "inverse")), "g").groupBy("g", "start", at.alias("bin")).agg(F.count("*").alias("n"), *sums)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
         n = pdf["n"].to_numpy()
-        ahead = np.concatenate([[0], np.cumsum(n)[:-1]])
-        near = pdf[ahead < share * n.sum()]
-        total = near["n"].sum()
-        mean = np.array([near[f"s{i}"].sum() for i in range(d)]) / total
-        cov = np.empty((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                cov[i, j] = cov[j, i] = near[f"p{i}_{j}"].sum() / total - mean[i] * mean[j]
-        inverse = np.linalg.inv(cov + np.eye(d) * FLOOR)
-        # the scale that puts the group's median distance where a normal group's would be
-        k = np.searchsorted(np.cumsum(n), n.sum() / 2)
-        median = np.exp((pdf["bin"].iloc[min(k, len(n) - 1)] + 1) / BINS_PER_E)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "centre": [mean.tolist()], "inverse": [inverse.ravel().tolist()], "median": [float(median)]})
-
-    return bins.groupBy(group).applyInPandas(fit, f"`{group}` string, centre array<double>, inverse array<double>, median double")
-
-
-def estimates(rows: DataFrame, group: str) -> DataFrame:
-    """Centre and inverse scatter of each group. rows: group, point."""
-    d = len(DIMS)
-    quarters = [F.percentile(F.col("point")[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(d)]
-    start = rows.groupBy(group).agg(*quarters)
-    spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOOR for i in range(d)]
-    flat = F.array(*[F.lit(1.0) / spread[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
-    fits = saved(start.select(group, F.array(*[F.col(f"q{i}")[1] for i in range(d)]).alias("centre"), flat.alias("inverse")))
-    for _ in range(STEPS):
-        fits = saved(concentrated(rows, fits.select(group, "centre", "inverse"), group, H))
-    # distances to the last estimates give the scale
-    return saved(concentrated(rows, fits.select(group, "centre", "inverse"), group, H).select(group, "median").join(fits.drop("median"), group))
+        near = pdf[np.cumsum(n) - n < H * n.sum()].drop(columns=["g", "start", "bin"]).sum()
+        mean = np.array([near[f"s{i}"] for i in range(d)]) / near["n"]
+        cov = square(near, "p", near["n"]) - np.outer(mean, mean)
+        return pd.DataFrame([fitted(pdf["g"].iloc[0], pdf["start"].iloc[0], n.sum(), mean, cov)], columns=FIT_COLUMNS)
+
+    return saved(bins.groupBy("g", "start").applyInPandas(fit, FIT))
+
+
+def least(fits: DataFrame) -> DataFrame:
+    """Of each group, the estimate of the least determinant."""
+    rest = [c for c in FIT_COLUMNS if c not in ("g", "logdet", "start")]
+    return fits.groupBy("g").agg(F.min(F.struct("logdet", "start", *rest)).alias("f")).select("g", "f.*")
+
+
+def shrunk(fits: DataFrame, up: DataFrame) -> DataFrame:
+    """Estimates drawn towards those of the group above (g, centre, cov), as if it had PRIOR rows here."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d = len(DIMS)
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                a, b = r["n"] / (r["n"] + PRIOR), PRIOR / (r["n"] + PRIOR)
+                own, above = np.array(r["centre"]), np.array(r["up_centre"])
+                cov = a * np.array(r["cov"]) + b * np.array(r["up_cov"]) + a * b * np.outer(own - above, own - above).ravel()
+                out.append(fitted(r["g"], 0, r["n"], a * own + b * above, cov.reshape(d, d) - np.eye(d) * FLOOR))
+            yield pd.DataFrame(out, columns=FIT_COLUMNS)
+
+    over = small(up.select(F.col("g").alias("up"), F.col("centre").alias("up_centre"), F.col("cov").alias("up_cov")))
+    return saved(fits.withColumn("up", above(F.col("g"))).join(over, "up").mapInPandas(draw, FIT))
+
+
+def above(g: Column) -> Column:
+    """The key of the group that holds a group."""
+    parts = F.from_json(g, "array<string>")
+    return F.when(F.size(parts) == 2, F.to_json(F.array(parts[0]))).otherwise(F.lit("[]"))
+
+
+def estimates(points: DataFrame) -> DataFrame:
+    """(g, centre, inverse, scale) of each language and source. points: keys, point."""
+    rows = points.select(F.explode("keys").alias("g"), "point")
+    fits = starts(rows)
+    for _ in range(FIRST_STEPS):
+        fits = concentrated(rows, fits)
+    best = saved(least(fits))
+    while True:
+        new = saved(least(concentrated(rows, best).unionByName(best)))
+        gain = new.select("g", F.col("logdet").alias("now")).join(best.select("g", "logdet"), "g").agg(F.max(F.col("logdet") - F.col("now"))).first()[0]
+        best = new
+        if gain is None or gain <= SETTLED:
+            break
+    size = F.size(F.from_json("g", "array<string>"))
+    in_lang = shrunk(best.filter(size == 1), best.filter(size == 0))
+    final = shrunk(best.filter(size == 2), in_lang)
+    # the scale that puts a group's median distance where a normal group's would be
+    at = binned(distance(F.col("point"), F.col("centre"), F.col("inverse")))
+    own = points.withColumn("g", F.col("keys")[2]).join(small(final.select("g", "centre", "inverse")), "g")
+    bins = own.groupBy("keys", at.alias("bin")).agg(F.count("*").alias("n")).select(F.explode("keys").alias("g"), "bin", "n").groupBy("g", "bin").agg(F.sum("n").alias("n"))
+
+    def middle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        n = pdf["n"].cumsum().to_numpy()
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "n": [int(n[-1])], "m": [float((pdf["bin"].iloc[np.searchsorted(n, n[-1] / 2)] + 1) / BINS_PER_E)]})
+
+    logs = saved(bins.groupBy("g").applyInPandas(middle, "g string, n long, m double"))
+    for _ in range(2):  # languages towards all rows, then sources towards languages
+        up = small(logs.select(F.col("g").alias("up"), F.col("m").alias("up_m")))
+        logs = saved(logs.withColumn("up", above(F.col("g"))).join(up, "up").select("g", "n", F.when(F.col("g") == "[]", F.col("m")).otherwise((F.col("n") * F.col("m") + PRIOR * F.col("up_m")) / (F.col("n") + PRIOR)).alias("m")))
+    return saved(final.select("g", "centre", "inverse").join(logs.select("g", F.greatest(F.exp("m") / CHI2_MEDIAN, F.lit(1e-3)).alias("scale")), "g"))
+
+
+def far(fit: str) -> Column:
+    """Squared distance of the row's point, scaled."""
+    f = F.col(fit)
+    return distance(F.col("point"), f["centre"], f["inverse"]) / f["scale"]
+
+
+def with_fit(rows: DataFrame, keys: str, points: DataFrame, fit: str) -> DataFrame:
+    """rows with the estimates of their language and source as a struct; points: keys, point."""
+    (g,) = fresh(rows, "g")
+    fits = estimates(points).select(F.col("g").alias(g), F.struct("centre", "inverse", "scale").alias(fit))
+    return rows.join(small(fits), F.col(keys)[2] == F.col(g), "left").drop(g)
 
 
 def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """docs without the text, with statistics, base_failed, distance and kept; columns of docs with
     these names go."""
-    (group,) = fresh(docs, "group")
-    made = {x.split()[0] for x in BASE.split(", ")} | {"point", "base_failed", "distance", "kept", text}
+    small_batches(docs.sparkSession)
+    keys, made_of, fit, inner = fresh(docs, "keys", "s", "fit", "row")
+    made = {x.split()[0] for x in BASE.split(", ")} | {"point", "base_failed", "distance", "kept", text.lower()}
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
-    rows = docs.select(*rest, with_statistics(F.col(f"`{text}`")).alias("__s")).select(*rest, "__s.*").withColumn("base_failed", base_failed())
-    rows = saved(grouped(rows, group, lang, source))
-    fits = estimates(rows.filter(f"not base_failed and `{group}` is not null").select(group, "point"), group)
-    far = distance(F.col("point"), F.col("centre"), F.col("inverse")) / F.greatest(F.col("median") / CHI2_MEDIAN, F.lit(1e-3))
-    out = rows.join(small(fits), group, "left").withColumn("distance", far)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUT))).drop(group, "point", "centre", "inverse", "median")
+    rows = docs.select(F.struct(F.lit(0).alias(keys), *rest).alias(inner), levels(F.col(f"`{lang}`"), F.col(f"`{source}`")).alias(keys), with_statistics(F.col(f"`{text}`")).alias(made_of))
+    rows = saved(rows.select(inner, keys, f"{made_of}.*").withColumn("base_failed", base_failed()))
+    out = with_fit(rows, keys, rows.filter("not base_failed").select(F.col(keys).alias("keys"), "point"), fit).withColumn("distance", far(fit))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUT)))
+    return out.select(f"{inner}.*", *[c for c in out.columns if c not in (inner, keys, fit, "point")]).drop(keys)
 
 
 def keep_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The documents that pass, with their own columns."""
+    """The documents that pass, with their own columns. Texts are never written; their statistics
+    are made twice."""
+    small_batches(docs.sparkSession)
     cols = docs.columns
-    (group,) = fresh(docs, "group")
     row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
-    rows = docs.select(row, F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
-    rows = grouped(rows, group, "lang", "source")  # before the statistics, so that sizes don't need them
-    rows = rows.select("row", group, with_statistics(F.col(f"row.`{text}`")).alias("__s")).select("row", group, "__s.*").filter(~base_failed())
-    fits = estimates(saved(rows.filter(F.col(group).isNotNull()).select(group, "point")), group)
-    far = distance(F.col("point"), F.col("centre"), F.col("inverse")) / F.greatest(F.col("median") / CHI2_MEDIAN, F.lit(1e-3))
-    return rows.join(small(fits), group, "left").filter(far.isNull() | (far <= CUT)).select([F.col(f"row.`{c}`").alias(c) for c in cols])
+    rows = docs.select(row, levels(F.col(f"`{lang}`"), F.col(f"`{source}`")).alias("keys"), with_statistics(F.col(f"`{text}`")).alias("s")).select("row", "keys", "s.*").filter(~base_failed())
+    out = with_fit(rows, "keys", saved(rows.select("keys", "point")), "fit")
+    return out.filter(far("fit").isNull() | (far("fit") <= CUT)).select([F.col(f"row.`{c}`").alias(c) for c in cols])
 
 
 def op8_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
