@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Bytes of an Arrow batch, so that a worker's batch is bounded by its size and not by its rows.
 BATCH_BYTES = 8 << 20
+#: Rows of a side that is broadcast.
+SMALL = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +47,32 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(most))
 
 
+def lean(make: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker's function that gives its memory back to the system at its end. Workers are reused,
+    and what one stage has used would else stay beside what the next one needs."""
+
+    def each(batches: Iterator) -> Iterator:
+        try:
+            yield from make(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return each
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is at most SMALL rows (narrow ones, a few MB); else joined by shuffle."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage."""
     shared_dir(df.sparkSession)
