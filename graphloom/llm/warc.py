@@ -11,8 +11,9 @@ is a response, the others are revisits of it; smaller payloads are always respon
 Nulls: null html is an empty payload; a null url has no WARC-Target-URI; a null page id is never
 the smallest, so a row with one is a revisit if its payload has another page id, else a response.
 Rows that repeat the smallest page id are all responses. Line breaks in a url are percent-encoded.
-An empty table makes no bundle. Tasks write under a name of their own and rename at the end, so
-an attempt that dies leaves nothing that a reader sees.
+An empty table makes no bundle; columns other than page_id, url and html are not read. Each attempt of a
+task writes bundles under names of its own, and only the attempt that Spark commits is in the index, so
+what a lost or slower attempt leaves is never read.
 """
 
 from __future__ import annotations
@@ -22,18 +23,20 @@ import struct
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, small_batches, table
 
 MIN_REVISIT = 100
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
+#: Bundles that a reading task takes at most, about.
+BUNDLES_PER_TASK = 8
 LEVEL = 3
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -105,6 +108,13 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), uri
 
 
+def as_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as Arrow, which keeps every digit of a number next to a null."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
 class Bundle:
     """Writes frames to a file that gets its name when it is whole."""
 
@@ -130,33 +140,33 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write one record per row of pages (page_id, url, html) and return the index, itself
     kept in folder/index."""
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", body.alias("payload")).withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
+    small_batches(pages.sparkSession)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), body.alias("payload")).withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
     first = rows.filter(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
     revisit = (F.col("size") >= MIN_REVISIT) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.join(first, "digest", "left").select("page_id", "url", F.when(revisit, F.lit(None)).otherwise(F.col("payload")).alias("payload"), "size", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, n = TaskContext.get().partitionId(), 0
-        bundle, plain, index = None, bytearray(), []
-        whole = lambda x: None if x is None or x != x else int(x)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundle, name, plain, index = None, "", bytearray(), []
 
-        def flush(last: bool) -> pd.DataFrame | None:
-            nonlocal bundle, index, n
+        def flush(last: bool) -> pa.RecordBatch | None:
+            nonlocal bundle, index
             if plain:
                 bundle.add(bytes(plain))
                 plain.clear()
             if bundle is None or not (last or bundle.bytes >= BUNDLE_BYTES):
                 return None
             bundle.close()
-            out, bundle, index, n = pd.DataFrame(index, columns=["record_id", "page_id", "bundle", "frame", "offset", "length"]).astype({"page_id": "Int64"}), None, [], n + 1
+            out, bundle, index = as_batch(index, INDEX), None, []
             return out
 
-        for pdf in batches:
-            for page, url, payload, size, digest, refers in zip(*(pdf[c] for c in ("page_id", "url", "payload", "size", "digest", "refers_to")), strict=True):
-                page, refers = whole(page), whole(refers)
-                bundle = bundle or Bundle(folder, f"bundle-{part:06d}-{n:04d}.warc.zst")
-                data = record(page, url, bytes(payload) if payload is not None else b"", int(size), digest, refers)
-                index.append((record_id(page, digest), page, f"bundle-{part:06d}-{n:04d}.warc.zst", len(bundle.frames), len(plain), len(data)))
+        for batch in batches:
+            for page, url, payload, size, digest, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "size", "digest", "refers_to")), strict=True):
+                if bundle is None:  # attempts of one task never share a bundle
+                    name = f"bundle-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst"
+                    bundle = Bundle(folder, name)
+                data = record(page, url, payload or b"", size, digest, refers)
+                index.append((record_id(page, digest), page, name, len(bundle.frames), len(plain), len(data)))
                 plain += data
                 if len(plain) >= FRAME_BYTES and (out := flush(False)) is not None:
                     yield out
@@ -165,18 +175,18 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     fs, at = opened(folder)
     fs.create_dir(at, recursive=True)
-    rows.mapInPandas(write, INDEX).write.mode("overwrite").parquet(f"{folder}/index")
+    rows.mapInArrow(write, INDEX).write.mode("overwrite").parquet(f"{folder}/index")
     return pages.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """All records of the bundles that the index names, frame by frame."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-        for pdf in batches:
-            for name in pdf["bundle"]:
-                fs, at = opened(folder)
+        fs, at = opened(folder)
+        for batch in batches:
+            for name in batch.column("bundle").to_pylist():
                 with fs.open_input_file(f"{at}/{name}") as f:
                     for start, packed, plain in read_seek_table(f):
                         f.seek(start)
@@ -184,9 +194,13 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                         while pos < len(data):
                             row, pos = parse(data, pos)
                             out.append(row)
-                        yield pd.DataFrame(out, columns=[x.split()[0] for x in RECORD.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        yield as_batch(out, RECORD)
 
-    return index.select("bundle").distinct().mapInPandas(read, RECORD)
+    bundles = index.select("bundle").distinct()
+    n = bundles.count()
+    tasks = max(1, min(n, 4 * index.sparkSession.sparkContext.defaultParallelism), -(-n // BUNDLES_PER_TASK))
+    # a number given keeps the planner from putting all names, which are small, into one task
+    return bundles.repartition(tasks, "bundle").mapInArrow(read, RECORD)
 
 
 def read_record(folder: str, bundle: str, frame: int, offset: int) -> tuple:
