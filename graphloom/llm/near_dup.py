@@ -7,20 +7,27 @@ two collections. At similarity 0.8 a pair is missed once in about 5000, at 0.85
 
 1. Texts with equal sets are one class; everything below is about classes.
 2. A collection value that only one class has can't meet anything and goes before pairing.
-3. Round one compares the classes of a table key with its least class only. Candidates must be
-   near enough in size and in a sketch of 4-bit minhashes (which a linked pair fails less than
-   once in 100,000), and are confirmed on their full sets, remade from the texts.
-4. Links give components. Round two takes the keys whose classes are still in different
-   components and compares across components, through keys of three collections where a key has
-   more than BUCKET classes. So copies within a component are never paired with one another.
+3. The classes of a table key are compared with its least class, the hub. Candidates must be near
+   enough in size and in a sketch of 4-bit minhashes (which a linked pair fails less than once in
+   100,000), and are confirmed on their full sets, remade from the texts. Each class is first compared
+   with the hub that it meets most often; links give components, and only pairs that still lie in
+   different components go on to the other hubs.
+4. A key whose classes still lie in different components has a main one, the largest there. The
+   others' classes (the outsiders) are compared with a few classes of the main component, drawn by
+   hash, which joins nearly all that belong to it.
+5. What is left over is compared in full: each key's remaining outsiders with all its classes of other
+   components. So classes of one component are never paired with one another, every pair that meets
+   in a table is either joined or compared, and no size changes that.
 
 Counts and least ids per key are aggregated before they are joined back, so a key with a third of
-all rows is split by adaptive joins; no group is gathered in one task.
+all rows is split by adaptive joins; no group is gathered in one task. The last step takes outsiders
+times classes of a key, which is the least that can show that an outsider is linked with none of them.
 
 Nulls: a null or empty text, or one without words, has an empty set and is linked with nothing.
 Repeated rows of one id are one text if their texts are equal; if they differ, the id stands for
 the class of each, and its component is the least of them. A null id can't be named and stays a
-component of its own (component_id null, kept true). An empty table gives no rows.
+component of its own (component_id null, kept true). Only the id and the text are read, so other
+columns may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, saved, table
+from .common import fresh, lean, saved, small_batches, table
 
 OP_SHINGLE = 4
 SHINGLE, SIMILARITY = 5, 80
@@ -40,7 +47,8 @@ COLLECTIONS, ROWS = 16, 3
 HASHES = COLLECTIONS * ROWS
 #: Of the HASHES 4-bit minhashes this many must agree; a pair at 0.8 has 39 +- 2.7.
 SKETCH_AGREE = 26
-BUCKET = 64
+#: Classes of a key's main component that its outsiders are compared with, and how often.
+DRAWS, DRAW_ROUNDS = 3, 2
 _rng = np.random.default_rng(2)
 _ODD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _rng.integers(0, 2**64, HASHES, dtype=np.uint64)
@@ -119,11 +127,12 @@ def signatures(texts, k: int) -> pd.DataFrame:
 
 
 def with_signatures(text: Column, k: int) -> Column:
+    @lean
     def each(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield pd.concat([signatures(batch.iloc[at : at + 512], k) for at in range(0, max(len(batch), 1), 512)], ignore_index=True)
 
-    each.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    each.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(each, "n long, set_a long, set_b long, u array<long>, sketch array<long>")(F.coalesce(text, F.lit("")))
 
 
@@ -141,7 +150,7 @@ def _nibbles(x: Column) -> Column:
     return x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id reachable over links (a, b); only ids that have links.
     Alternates large-star and small-star steps until nothing changes; every step aggregates by
     node before it is joined."""
@@ -160,11 +169,39 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("component"))
 
 
+def relinked(mark: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (id, component) after more links between ids; only these are gone through."""
+    known = labelled(links, mark)
+    more = components(known.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    joined = more.select(F.col("id").alias("component"), F.col("component").alias("new"))
+    old = mark.join(joined, "component", "left").select("id", F.coalesce("new", "component").alias("component"))
+    ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(mark.select("id"), "id", "left_anti")
+    fresh_ids = ids.join(more, "id")
+    return saved(old.unionByName(fresh_ids.select("id", "component")))
+
+
+def labelled(pairs: DataFrame, mark: DataFrame) -> DataFrame:
+    """pairs (a, b) with their components ca, cb; an id without links is its own."""
+    m = lambda x: mark.select(F.col("id").alias(x), F.col("component").alias("c" + x))
+    both = pairs.join(m("a"), "a", "left").join(m("b"), "b", "left")
+    return both.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+
+
+def near_pairs(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b, ...) near enough in size and sketch."""
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    ok = (100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & (alike(F.col("sa"), F.col("sb")) >= SKETCH_AGREE)
+    return both.filter(ok).select(*pairs.columns)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity, in percent. texts: id, text."""
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    full = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    """The pairs (a, b) whose full sets reach the similarity, in percent. texts: id, text. The text
+    of b is moved once per pair, that of a, which many pairs may share, once."""
+    right = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    full = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
 
+    @lean
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for pdf in batches:
@@ -186,43 +223,68 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> Da
     return full.select("a", "ta", "b", "tb").mapInPandas(check, "a long, b long")
 
 
+def linked_classes(classes: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
+    """(id, component) of the classes that are linked. classes: id, n, u, sketch."""
+    # collection values that two classes share
+    values = classes.select("id", F.posexplode("u").alias("c", "v"))
+    shared = values.groupBy("c", "v").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
+    live = saved(values.join(shared, ["c", "v"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("l")).filter(F.size("l") > 1))
+    pair = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.xxhash64(x["c"], x["v"], y["c"], y["v"]))))
+    keys = live.select("id", F.explode(pair).alias("key"))
+    hubs = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).filter("m > 1").drop("m")
+    rows = saved(keys.join(hubs, "key"))
+    met = rows.filter("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("keys"))
+    tried = saved(near_pairs(met, classes, similarity))
+    best = tried.groupBy("b").agg(F.max(F.struct("keys", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
+    links = saved(confirm(saved(best), texts, k, similarity))
+    mark = saved(components(links))
+    other = saved(labelled(tried.join(best, ["a", "b"], "left_anti"), mark).filter("ca <> cb").select("a", "b"))
+    mark = joined_by(other, mark, texts, k, similarity)
+    tried = tried.select("a", "b")
+    rows = rows.select("id", "key")
+    for turn in range(DRAW_ROUNDS + 1):
+        own = rows.join(mark, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        parts = own.groupBy("key", "component").agg(F.count("*").alias("m"), *[F.min(F.struct(F.xxhash64("id", F.lit(f"{turn}/{d}")).alias("h"), F.col("id").alias("id"))).alias(f"d{d}") for d in range(DRAWS)])
+        draws = F.array(*[F.col(f"d{d}.id") for d in range(DRAWS)]).alias("draws")
+        main = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", F.col("component").alias("main"), draws)).alias("x")).filter("parts > 1").select("key", "x.main", "x.draws")
+        rows = saved(own.join(main, "key"))  # keys of one component are done with
+        if rows.isEmpty():
+            break
+        out = rows.filter("component <> main")
+        if turn < DRAW_ROUNDS:
+            pairs = out.select("id", F.explode(F.array_distinct("draws")).alias("other"))
+        else:
+            x, y = out.alias("x"), rows.alias("y")
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("id"), F.col("y.id").alias("other"))
+        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        new = saved(near_pairs(pairs, classes, similarity).join(tried, ["a", "b"], "left_anti"))
+        mark = joined_by(new, mark, texts, k, similarity)
+        tried = saved(tried.unionByName(new)) if turn < DRAW_ROUNDS else tried
+        rows = rows.select("id", "key")
+    return mark
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
+    return confirmed(pairs, class_texts(texts, pairs), k, similarity)
+
+
+def joined_by(pairs: DataFrame, mark: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
+    """mark after the links among the pairs."""
+    if pairs.isEmpty():
+        return mark
+    links = saved(confirm(pairs, texts, k, similarity))
+    return mark if links.isEmpty() else relinked(mark, links)
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = saved(source.select("id", with_signatures(F.col("text"), k).alias("s")).select("id", "s.*"))
     named = signed.filter("id is not null and n > 0")
     classes = saved(named.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("id", "u", "sketch")).alias("r")).select("set_a", "set_b", "n", "r.*"))
-    # collection values that two classes share
-    values = classes.select("id", F.posexplode("u").alias("c", "v"))
-    shared = values.groupBy("c", "v").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
-    live = values.join(shared, ["c", "v"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("l")).filter(F.size("l") > 1)
-    pair = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.xxhash64(x["c"], x["v"], y["c"], y["v"]))))
-    kept = classes.select("id", "n", "sketch").join(live, "id")
-    rows = kept.select("id", "n", "sketch", "l", F.explode(pair).alias("key"))
-    crowd = rows.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("id", "n", "sketch")).alias("hub")).filter("m > 1")
-    rows = saved(rows.join(crowd, "key"))
-    # only texts that some pair needs are moved
-    near = lambda n1, n2, s1, s2: (100 * F.least(n1, n2) >= similarity * F.greatest(n1, n2)) & (alike(s1, s2) >= SKETCH_AGREE)
     texts = source.filter("id is not null").withColumn("h", F.xxhash64("text"))
-    first = saved(rows.filter("id <> hub.id").filter(near(F.col("n"), F.col("hub.n"), F.col("sketch"), F.col("hub.sketch"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
-    wanted = class_texts(texts, classes, first)
-    links = saved(confirmed(first, wanted, k, similarity))
-    comp = components(classes, links)
-    mark = saved(comp)
-    labelled = rows.drop("hub").join(mark, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m2")).filter("lo < hi").select("key", "m2")
-    open_rows = labelled.drop("m").join(split, "key")
-    small = open_rows.filter(F.col("m2") <= BUCKET).select("id", "n", "sketch", "component", "key")
-    third = F.explode(F.transform("l", lambda x: F.xxhash64(F.col("key"), x["c"], x["v"])))
-    large = open_rows.filter(F.col("m2") > BUCKET).select("id", "n", "sketch", "component", third.alias("key"))
-    last = small.unionByName(large)
-    x, y = last.alias("x"), last.alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    second = x.join(y, on & near(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = saved(second)
-    if not second.isEmpty():
-        links = links.unionByName(confirmed(second, class_texts(texts, classes, second), k, similarity))
-        mark = saved(components(classes, saved(links)))
+    mark = linked_classes(classes, texts, k, similarity)
     # ids whose rows have different texts tie classes together
     tie = named.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1")
     by_class = classes.select("set_a", "set_b", F.col("id").alias("class")).join(mark.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")).drop("class")
@@ -239,11 +301,11 @@ def tied(out: DataFrame, tie: DataFrame) -> DataFrame:
     links = saved(both.select("a", F.explode("all").alias("b")).filter("a <> b").distinct())
     if links.isEmpty():
         return out
-    more = components(out, links).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+    more = components(links).select(F.col("id").alias("component"), F.col("component").alias("joined"))
     return out.join(more, "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
 
 
-def class_texts(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def class_texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, text) of the classes in pairs. A class's text is one of its id's texts; an id with
     several texts gives each pair all of them."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -251,17 +313,43 @@ def class_texts(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id. Rows that share
-    an id are one document, and one row of them stays; rows without an id all stay."""
-    i = f"`{id_col}`"
-    gone = near_duplicates(docs.select(i, f"`{text}`"), id_col=id_col, text=text, **how).filter("not kept").select(F.col(i).alias("__gone")).distinct()
-    left = docs.join(gone, F.col(i) == F.col("__gone"), "left_anti")
-    twice = docs.filter(F.col(i).isNotNull()).groupBy(F.col(i).alias("__twice")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__twice")
-    if twice.isEmpty():
-        return left
-    repeated = left.join(twice, F.col(i) == F.col("__twice"), "left_semi").dropDuplicates([id_col])
-    return left.join(twice, F.col(i) == F.col("__twice"), "left_anti").unionByName(repeated)
+    """One row of each group of near-duplicate texts: the one of the least id, null last. Grouping
+    depends on texts only: rows that share an id, or have none, are told apart by their texts, and
+    of rows with equal id and text one stays. Rows without words all stay."""
+    key, h, own, low = fresh(docs, "id", "hash", "own", "low")
+    keyed = docs.select(F.col(f"`{id_col}`").alias(key))
+    odd = keyed.groupBy(key).agg(F.count("*").alias(own)).filter(F.col(key).isNull() | (F.col(own) > 1))
+    if odd.isEmpty():
+        gone = near_duplicates(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")), id_col=id_col, text=text, **how).filter("not kept").select(F.col(f"`{id_col}`").alias(key))
+        return docs.join(gone, F.col(f"`{id_col}`") == F.col(key), "left_anti")
+    hashed = F.sha2(F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8"), 256)
+    named = saved(docs.select(F.col(f"`{id_col}`").alias(key), hashed.alias(h), F.col(f"`{text}`").alias("text")).dropDuplicates([key, h]).withColumn("doc_id", F.monotonically_increasing_id()))
+    groups = near_duplicates(named.select("doc_id", "text"), **how).join(named.select("doc_id", key, h), "doc_id")
+    first = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull().alias("none"), key, h)).alias(low)).select(F.col(low)[key].alias(key), F.col(low)[h].alias(h))
+    words = F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.col(own) == F.col(h))
+    left = docs.filter(words).withColumn(own, hashed).join(first, same, "left_semi").dropDuplicates([id_col, own]).drop(own)
+    return left.unionByName(docs.filter(~words))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), OP_SHINGLE)
+
+
+OP2_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {OP_SHINGLE} THEN [hash(w)]
+    ELSE list_distinct(list_transform(range(1, len(w) - {OP_SHINGLE} + 2), lambda i: hash(w[i : i + {OP_SHINGLE} - 1]))) END AS s FROM w),
+c AS MATERIALIZED (SELECT list_sort(s) AS s, len(s) AS n, min(doc_id) AS id FROM s WHERE len(s) > 0 GROUP BY 1, 2),
+x AS MATERIALIZED (SELECT id, n, unnest(s) AS h FROM c),
+l AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.h = b.h AND a.id < b.id AND 100 * least(a.n, b.n) >= {SIMILARITY} * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {SIMILARITY} * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS id, a AS low FROM e UNION SELECT e.b, r.low FROM r JOIN e ON r.id = e.a),
+m AS (SELECT id, min(low) AS component FROM r GROUP BY id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.component, c.id, s.doc_id) AS component_id, s.doc_id = coalesce(m.component, c.id, s.doc_id) AS kept
+FROM s LEFT JOIN c ON list_sort(s.s) = c.s LEFT JOIN m ON m.id = c.id
+"""
