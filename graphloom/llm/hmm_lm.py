@@ -17,7 +17,9 @@ as their entries need (RANGE_ENTRIES each). Two words with the same 64-bit hash
 
 Nulls: a null text is empty and is just the end; a null id is the empty text for the split. Equal
 rows are scored alike and count each. Without training texts all counts are 0, base_score is
-log10(1/1) per token, and symbols are equally likely. An empty table gives no rows.
+log10(1/1) per token, and symbols are equally likely. Only the id and the text are read, so other
+columns may have any names. A text of any length takes AREA symbols of memory at a time beside its own
+tokens. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, shared_dir, table
+from .common import dropped, id_crc, lean, shared_dir, small_batches, table
 
 FOLDS, HELD_OUT = 7, 2
 STATES, TOP, CLASSES = 8, 1000, 512
@@ -45,12 +47,12 @@ SETTLED = 1e-4
 #: The start takes whole texts by hash over the whole table, some SAMPLE_TOKENS tokens in all.
 SAMPLE_TOKENS = 120_000
 #: Texts of a chunk, and bytes after which a chunk ends.
-CHUNK_TEXTS, CHUNK_BYTES = 4096, 8 << 20
-RANGE_ENTRIES = 4_000_000
+CHUNK_TEXTS, CHUNK_BYTES = 4096, 12 << 20
+RANGE_ENTRIES = 500_000
 #: Chunks that a worker holds at once.
 CHUNKS_AT_ONCE = 2
-#: Sequences that step together.
-LANES = 512
+#: Sequences that step together, and symbols of them that are held at once.
+LANES, AREA = 512, 1 << 17
 END = np.uint64(0x9D5C0F1A3B7E2468)
 _Z = zstandard.ZstdCompressor(level=1)
 _U = zstandard.ZstdDecompressor()
@@ -103,6 +105,7 @@ def chunk_of(texts: list[str], train: np.ndarray) -> dict:
 def write_chunks(docs: DataFrame, folder: str) -> None:
     """docs: id, text, held (boolean)."""
 
+    @lean
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seq = TaskContext.get().partitionId(), 0
         for pdf in batches:
@@ -113,19 +116,20 @@ def write_chunks(docs: DataFrame, folder: str) -> None:
                 own = pdf.iloc[a:b]
                 held = own["held"].to_numpy(bool)
                 c = chunk_of(own["text"].tolist(), ~held)
-                null = own["id"].isna().to_numpy()
-                row = {"chunk": part << 32 | seq, "ids": packed(np.stack([own["id"].fillna(0).to_numpy(np.int64), null.astype(np.int64)])), "held": packed(held), "lengths": packed(c["lengths"])}
+                row = {"chunk": part << 32 | seq, "ids": packed(np.stack([own["id"].to_numpy(np.int64), own["no_id"].to_numpy(np.int64)])), "held": packed(held), "lengths": packed(c["lengths"])}
                 row |= {k: packed(c[k]) for k in ("tokens", "words", "counts", "classes")} | {k: c[k] for k in ("n", "n_train")}
                 seq += 1
                 yield pd.DataFrame([row])
 
-    docs.select("id", "text", "held").mapInPandas(each, CHUNK).write.parquet(f"{folder}/chunks")
+    whole = docs.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("no_id"), "text", "held")  # ids without nulls keep all digits
+    whole.mapInPandas(each, CHUNK).write.parquet(f"{folder}/chunks")
 
 
 def range_totals(chunks: DataFrame, ranges: int, folder: str) -> None:
     """Sum the chunks' counts by hash range. Writes rows of two kinds: the totals of a chunk's
     slice, in its order; and per range the number of words, the commonest and the class sums."""
 
+    @lean
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for chunk, words, counts, classes in zip(pdf["chunk"], pdf["words"], pdf["counts"], pdf["classes"], strict=True):
@@ -211,69 +215,86 @@ class Hmm:
         return Hmm(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
     @staticmethod
-    def lanes(symbols: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(texts, matrix, lengths) of texts that step together, longest first."""
+    def lanes(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(texts, their starts, lengths) of texts that step together, longest first."""
         starts = np.cumsum(lengths) - lengths
         order = np.argsort(-lengths, kind="stable")
         for a in range(0, len(order), LANES):
             own = order[a : a + LANES]
-            steps = np.arange(lengths[own[0]])
-            inside = steps[:, None] < lengths[own][None, :]
-            x = np.zeros(inside.shape, np.int64)
-            r, c = np.nonzero(inside)
-            x[r, c] = symbols[starts[own][c] + r]
-            yield own, x, lengths[own]
+            yield own, starts[own], lengths[own]
+
+    @staticmethod
+    def block(symbols: np.ndarray, starts: np.ndarray, n: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """(matrix, live texts by step) of the steps from t on, at most AREA symbols or one step."""
+        m = int((n > t).sum())
+        steps = np.arange(t, min(n[0], t + max(1, AREA // m)))
+        at = np.minimum(starts[None, :m] + steps[:, None], len(symbols) - 1)
+        return symbols[at], np.searchsorted(-n, -steps, side="left")
 
     def forward(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 likelihood of each sequence."""
         out = np.zeros(len(lengths))
         by_symbol = np.ascontiguousarray(self.emit.T)
-        for own, x, n in self.lanes(symbols, lengths):
-            live = np.searchsorted(-n, -np.arange(len(x)), side="left")
-            p, total = np.broadcast_to(self.start, (len(own), STATES)), np.zeros(len(own))
-            for t in range(len(x)):
-                m = live[t]
-                p = (p[:m] @ self.move if t else p) * by_symbol[x[t, :m]]
-                scale = p.sum(1)
-                p = p / scale[:, None]
-                total[:m] += np.log10(scale)
+        for own, starts, n in self.lanes(lengths):
+            p, total, t = None, np.zeros(len(own)), 0
+            while t < n[0]:
+                x, live = self.block(symbols, starts, n, t)
+                for row, m in zip(x, live, strict=True):
+                    p = (self.start if p is None else p[:m] @ self.move) * by_symbol[row[:m]]
+                    scale = p.sum(1)
+                    p = p / scale[:, None]
+                    total[:m] += np.log10(scale)
+                t += len(x)
             out[own] = total
         return out
 
+    def alphas(self, p: np.ndarray | None, x: np.ndarray, live: np.ndarray, by_symbol: np.ndarray) -> tuple[list, list]:
+        """Scaled forward rows of a block's steps and their scales; p is the row before the block."""
+        rows, scales = [], []
+        for row, m in zip(x, live, strict=True):
+            p = (self.start if p is None else p[:m] @ self.move) * by_symbol[row[:m]]
+            scales.append(p.sum(1))
+            p = p / scales[-1][:, None]
+            rows.append(p)
+        return rows, scales
+
     def expected(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and emissions."""
         return self.expected_and_likelihood(symbols, lengths)[:3]
 
     def expected_and_likelihood(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """And the log10 likelihood of all sequences."""
+        """And the log10 likelihood of all sequences. Only the row before each block of steps is
+        held; a block's rows are made again on the way back."""
         likelihood = 0.0
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES))
         by_symbol = np.ascontiguousarray(self.emit.T)
-        for own, x, n in self.lanes(symbols, lengths):
-            live = np.searchsorted(-n, -np.arange(len(x)), side="left")
-            alphas, scales = [], []
-            for t in range(len(x)):
-                m = live[t]
-                p = (alphas[-1][:m] @ self.move if t else np.broadcast_to(self.start, (m, STATES))) * by_symbol[x[t, :m]]
-                scales.append(p.sum(1))
-                alphas.append(p / scales[-1][:, None])
-            likelihood += float(np.log10(np.concatenate(scales)).sum())
-            beta = np.ones((0, STATES))
-            gammas: list = [None] * len(x)
-            for t in range(len(x) - 1, -1, -1):
-                m = live[t]
-                if t + 1 < len(x):
-                    m1 = live[t + 1]
-                    ahead = by_symbol[x[t + 1, :m1]] * beta / scales[t + 1][:, None]
-                    move += alphas[t][:m1].T @ ahead
-                    beta = np.concatenate([ahead @ self.move.T, np.ones((m - m1, STATES))])
-                else:
-                    beta = np.ones((m, STATES))
-                gammas[t] = alphas[t] * beta
-            start += gammas[0].sum(0)
-            seen, g = np.concatenate([x[t, : live[t]] for t in range(len(x))]), np.concatenate(gammas)
-            for s in range(STATES):
-                emit[:, s] += np.bincount(seen, g[:, s], SYMBOLS)
+        for _, starts, n in self.lanes(lengths):
+            before, p, t, rows = [], None, 0, None
+            while t < n[0]:
+                x, live = self.block(symbols, starts, n, t)
+                before.append((t, p))
+                rows, scales = self.alphas(p, x, live, by_symbol)
+                p = rows[-1]
+                likelihood += float(np.log10(np.concatenate(scales)).sum())
+                t += len(x)
+            ahead = None
+            for k, (t, p) in enumerate(reversed(before)):
+                if k:  # the last block is still at hand
+                    x, live = self.block(symbols, starts, n, t)
+                    rows, scales = self.alphas(p, x, live, by_symbol)
+                gammas: list = [None] * len(x)
+                for i in range(len(x) - 1, -1, -1):
+                    beta = np.ones((live[i], STATES))
+                    if ahead is not None:
+                        move += rows[i][: len(ahead)].T @ ahead
+                        beta[: len(ahead)] = ahead @ self.move.T
+                    gammas[i] = rows[i] * beta
+                    ahead = by_symbol[x[i, : live[i]]] * beta / scales[i][:, None]
+                if t == 0:
+                    start += gammas[0].sum(0)
+                seen, g = np.concatenate([x[i, : live[i]] for i in range(len(x))]), np.concatenate(gammas)
+                for s in range(STATES):
+                    emit[:, s] += np.bincount(seen, g[:, s], SYMBOLS)
         return start, move * self.move, emit.T, likelihood
 
     @staticmethod
@@ -296,6 +317,7 @@ def encode_chunks(chunks: DataFrame, totals: DataFrame, coder: Coder, folder: st
     back = totals.filter("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("range", "totals"))).alias("t")).select("chunk", F.col("t.totals").alias("t"))
     joined = chunks.select("chunk", "ids", "held", "lengths", "tokens", "words", "classes").join(back, "chunk")
 
+    @lean
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, r in pdf.iterrows():
@@ -351,6 +373,7 @@ def fit(coded: DataFrame, rounds: list[float] | None = None) -> Hmm:
         model = Hmm.from_counts(*model.expected(s, n))
 
     def sums(model: Hmm):
+        @lean
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, seen = None, 0
             for pdf in batches:
@@ -382,6 +405,7 @@ def fit(coded: DataFrame, rounds: list[float] | None = None) -> Hmm:
 def score_documents(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores of all documents under the model learnt from the training fold."""
     spark = docs.sparkSession
+    small_batches(spark)
     held = F.coalesce(id_crc(id_col), F.lit(0)) % FOLDS == HELD_OUT
     write_chunks(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), held.alias("held")), folder)
     chunks = spark.read.schema(CHUNK).parquet(f"{folder}/chunks")
@@ -394,10 +418,13 @@ def score_documents(docs: DataFrame, folder: str, id_col: str = "doc_id", text:
     vocabulary = int(by_class[1].sum())
     with few_rows(spark):
         encode_chunks(chunks, totals, Coder(best, by_class), folder)
+    dropped(spark, f"{folder}/chunks")
+    dropped(spark, f"{folder}/totals")
     coded = spark.read.schema("chunk long, ids binary, held binary, lengths binary, symbols binary, sums binary").parquet(f"{folder}/coded")
     model = fit(coded)
     norm = float(np.log10(total + vocabulary + 1))
 
+    @lean
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, r in pdf.iterrows():
