@@ -28,15 +28,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, saved, small_batches, table
+from .common import fresh, lean, saved, small, small_batches, table
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 GRID = 256
 #: How many rows the group above counts as when a group's estimates are drawn towards its.
 PRIOR = 100
-#: Groups whose estimates are broadcast.
-SMALL = 4096
 #: Share of a group that a concentration step keeps, and steps before the best start is chosen.
 H, FIRST_STEPS = 0.75, 2
 #: Steps end when no group's log determinant falls by more.
@@ -110,11 +108,12 @@ def statistics(text: str | None) -> tuple:
 
 
 def with_statistics(text: Column) -> Column:
+    @lean
     def each(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield pd.DataFrame([statistics(x) for x in batch], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "point"])
 
-    each.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    each.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(each, f"{BASE}, point array<double>")(F.coalesce(text, F.lit("")))
 
 
@@ -122,11 +121,6 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
 
-def small(fits: DataFrame) -> DataFrame:
-    """fits, to be broadcast if they are at most SMALL rows (a few MB); else joined by shuffle."""
-    return F.broadcast(fits) if fits.limit(SMALL + 1).count() <= SMALL else fits
-
-
 def levels(lang: Column, source: Column) -> Column:
     """The keys of a row's groups: all rows, its language, its language and source."""
     l, s = (F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in (lang, source))
