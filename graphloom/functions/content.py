@@ -60,10 +60,24 @@ def code_line(line: Column, body: Column) -> Column:
     return F.concat(F.lpad(line.cast("string"), 4, " "), F.lit(": "), body)
 
 
+def summary_block(kind: Column, items: Column, show: int = 5) -> Column:
+    """K4: highlights of a document or of configuration; null without any."""
+    label = F.when(kind == "doc", "(Doc Highlights)").otherwise("(Config Highlights)")
+    return F.when(F.size(items) > 0, F.concat_ws("\n", label, F.array_join(F.transform(F.slice(items, 1, show), lambda x: F.concat(F.lit("- "), x)), "\n")))
+
+
 def map_sections(files: DataFrame, interest: DataFrame) -> DataFrame:
-    """K1/K3: (rel_path, section). files: rel_path, rank, text; interest: rel_path, lines_of_interest."""
+    """K1/K3/K4: (rel_path, section). files: rel_path, rank, text; interest: rel_path,
+    lines_of_interest and, where highlights are wanted, summary_kind and summary_items."""
     parts = F.split("text", LINE_END)
     j = files.join(interest, "rel_path", "left")
     shown = F.array_join(F.transform(F.filter("lines_of_interest", lambda n: (n >= 1) & (n <= F.size(parts))), lambda n: code_line(n, F.element_at(parts, n.cast("int")))), "\n")
     head = F.concat(F.col("rel_path"), F.lit(":\n(Rank value: "), F.format_string("%.4f", F.col("rank")), F.lit(")"))
-    return j.select("rel_path", F.concat_ws("\n\n", head, F.when(shown != "", shown)).alias("section"))
+    block = [summary_block(F.col("summary_kind"), F.col("summary_items"))] if "summary_items" in interest.columns else []
+    return j.select("rel_path", F.concat_ws("\n\n", head, *block, F.when(shown != "", shown)).alias("section"))
+
+
+def joined_sections(rank: str = "rank") -> Column:
+    """K2: an aggregate: sections by rank and path, a blank line between them."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col(rank)).alias("r"), "rel_path", "section")))
+    return F.array_join(F.transform(rows, lambda x: x["section"]), "\n\n")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PRESETS = dict(zip(("small", "medium", "large", "xlarge"), (2048, 4096, 8192, 12288), strict=True))
+DEFAULT, AUTO = 8192, ("auto", "dynamic")
 PADDING, EXPANSION, EXPANDED_MAX = 1024, 8, 16384
 BIN_DIGITS = 12
 
@@ -52,61 +54,179 @@ def sampled_tokens(text: Column, count=words) -> Column:
     return F.when(F.length(text) < 200, count(text).cast("long")).otherwise(F.coalesce(F.when(F.length(sample) > 0, scaled), count(text).cast("long")))
 
 
+@dataclass(frozen=True)
+class Request:
+    """what was asked for. Requests that can't be read fall back to the default with a diagnostic."""
+
+    mode: str
+    raw: str
+    tokens: int | None = None
+    hint: str | None = None
+    diagnostic: str | None = None
+
+
 @dataclass(frozen=True)
 class Budget:
+    """what a request comes to in a scope."""
+
     mode: str
     tokens: int
     preset: str | None = None
     reason: str = ""
+    raw: str = ""
+    requested: int | None = None
+    diagnostic: str | None = None
+
+
+def _positive(x) -> int | None:
+    try:
+        n = int(x)
+    except (TypeError, ValueError, OverflowError):
+        return None
+    return n if n > 0 else None
+
+
+def parse_budget(value, default: int = DEFAULT) -> Request:
+    """nothing, a number, text (a number, `auto`, `dynamic` or a preset) or a mapping."""
+    if isinstance(value, Request):
+        return value
+    plain = Request("fixed", str(default), default)
+    if value is None or value == "":
+        return plain
+    if isinstance(value, dict):
+        return _from_mapping(value, default)
+    if isinstance(value, (int, float)):
+        n = _positive(value)
+        return Request("fixed", str(n), n) if n else replace(plain, diagnostic=f"{value!r} isn't a positive number of tokens; using {default}.")
+    if not isinstance(value, str):
+        return replace(plain, diagnostic=f"a {type(value).__name__} isn't a budget; using {default}.")
+    text = value.strip().lower()
+    if not text:
+        return plain
+    if n := _positive(text):
+        return Request("fixed", text, n)
+    if text in AUTO:
+        return Request("auto", text)
+    if text in PRESETS:
+        return Request("ai_guided", text, hint=text)
+    return Request("fixed", text, default, diagnostic=f"{value!r} is neither a number, auto nor a preset; using {default}.")
+
+
+def _from_mapping(value: dict, default: int) -> Request:
+    raw = json.dumps(value, sort_keys=True)
+    mode = str(value.get("mode") or "").strip().lower()
+    hint = str(next((value[k] for k in ("hint", "size", "budget") if value.get(k)), "")).strip().lower() or None
+    tokens = _positive(next((value[k] for k in ("requested_tokens", "tokens", "token_limit") if k in value), None))
+    mode = mode or ("fixed" if tokens else "ai_guided" if hint in PRESETS else "auto")
+    if mode in AUTO:
+        return Request("auto", raw, hint=hint)
+    if mode in ("ai", "ai_guided", "guided"):
+        return Request("ai_guided", raw, tokens, hint if hint in PRESETS else "medium")
+    if mode == "fixed":
+        return Request("fixed", raw, tokens or default)
+    return Request("fixed", raw, default, diagnostic=f"{mode!r} isn't a budget mode; using {default}.")
 
 
-def parse_budget(raw, default: int = 8192) -> Budget:
-    """None, a number, a preset, 'auto', 'ai_guided' or a mapping of mode, tokens, preset."""
-    if raw is None:
-        return Budget("fixed", default)
-    if isinstance(raw, dict):
-        mode = str(raw.get("mode", "fixed")).strip().lower().replace("-", "_")
-        if mode not in ("fixed", "auto", "ai_guided"):
-            raise ValueError(f"unknown budget mode {mode!r}")
-        preset = raw.get("preset")
-        if preset is not None and preset not in PRESETS:
-            raise ValueError(f"unknown budget preset {preset!r}")
-        tokens = raw.get("tokens", PRESETS.get(preset, default))
-        return Budget(mode, _positive(tokens), preset)
-    if isinstance(raw, str):
-        text = raw.strip().lower().replace("-", "_")
-        if text in PRESETS:
-            return Budget("fixed", PRESETS[text], text)
-        if text in ("auto", "ai_guided"):
-            return Budget(text, default)
-        raw = text
-    return Budget("fixed", _positive(raw))
-
-
-def _positive(x) -> int:
-    if isinstance(x, bool):
-        raise ValueError("a budget is a positive number")
-    n = int(str(x).strip())
-    if n < 1:
-        raise ValueError("a budget is a positive number")
-    return n
-
-
-def auto_preset(files: int, chat_files: int = 0, mentions: int = 0, changed: int = 0, query: bool = False) -> str:
-    """F16: wider scopes get larger presets, focused requests smaller ones."""
-    score = sum(files > n for n in (40, 250, 1000, 5000))
-    score -= (chat_files > 0) + (mentions > 0) + (0 < changed <= 5)
-    score += changed > 25
-    score += bool(query) and not chat_files
-    return list(PRESETS)[max(0, min(3, score))]
-
-
-def resolve_budget(request: Budget, files: int, chat_files: int = 0, context_window: int | None = None, **signals) -> Budget:
-    """a preset by scope for automatic modes, then room to grow without chat files."""
-    tokens, preset, why = request.tokens, request.preset, "as asked"
-    if request.mode != "fixed":
-        preset = preset or auto_preset(files, chat_files, **signals)
-        tokens, why = PRESETS[preset], f"{preset} for {files} files"
-        if not chat_files and context_window:
-            tokens, why = max(1, min(tokens * EXPANSION, context_window - PADDING, EXPANDED_MAX)), why + ", expanded"
-    return Budget(request.mode, tokens, preset, why)
+@dataclass(frozen=True)
+class Scope:
+    """What decides an automatic budget; numbers, or columns of them."""
+
+    files: int | Column
+    chat: int | Column = 0
+    mentioned: int | Column = 0
+    terms: int | Column = 0
+    changed: int | Column = 0
+    depth: int | Column = 0
+
+
+#: F16: score, reason and condition; the conditions hold for numbers and for columns.
+SCOPE_RULES = (
+    (3, "very large repository", lambda s: s.files >= 5000),
+    (2, "large repository", lambda s: (s.files >= 1000) & (s.files < 5000)),
+    (1, "medium repository", lambda s: (s.files >= 250) & (s.files < 1000)),
+    (-1, "small repository", lambda s: s.files <= 40),
+    (1, "query of three or more terms", lambda s: s.terms >= 3),
+    (1, "query of seven or more terms", lambda s: s.terms >= 7),
+    (1, "three or more mentioned files", lambda s: s.mentioned >= 3),
+    (-1, "changed files", lambda s: s.changed > 0),
+    (1, "neighbours of changed files", lambda s: (s.changed > 0) & (s.depth > 0)),
+    (-2, "chat files", lambda s: s.chat > 0),
+)
+
+
+def auto_preset(scope: Scope) -> tuple[str, str]:
+    """F16: wide scopes get larger presets, pinned ones smaller; and the first four reasons."""
+    hits = [(n, why) for n, why, rule in SCOPE_RULES if rule(scope)]
+    score = sum(n for n, _ in hits)
+    preset = "small" if score <= -1 else "medium" if score <= 1 else "large" if score <= 3 else "xlarge"
+    return preset, ", ".join(why for _, why in hits[:4]) or "ordinary repository"
+
+
+def resolve_budget(request: Request, scope: Scope, context_window: int | None = None, expansion: int = EXPANSION) -> Budget:
+    """a fixed budget stays; others take a preset, and grow into the context window if no
+    chat files are pinned."""
+    preset, why = None, "as asked"
+    if request.mode == "fixed":
+        tokens = request.tokens or DEFAULT
+    else:
+        if request.mode == "auto":
+            preset, why = auto_preset(scope)
+        else:
+            order = list(PRESETS)
+            at = order.index(request.hint if request.hint in PRESETS else "medium")
+            at = min(at + 1, len(order) - 1) if scope.files >= 5000 and not scope.chat else max(at - 1, 0) if scope.chat else at
+            preset, why = order[at], f"guided by {request.hint}"
+        tokens = PRESETS[preset]
+        if not scope.chat and context_window:
+            room = min(tokens * max(1, expansion), max(0, context_window - PADDING), EXPANDED_MAX)
+            if room > tokens:
+                tokens, why = room, why + "; expanded into the context window"
+    return Budget(request.mode, tokens, preset, why, request.raw, request.tokens, request.diagnostic)
+
+
+def request_columns(text: Column, default: int = DEFAULT) -> Column:
+    """F15 over a column of texts: struct of mode, raw, tokens, hint and ignored."""
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    n = F.when(t.rlike(r"^\+?\d+(_\d+)*$"), F.regexp_replace(t, "[+_]", "").cast("long"))
+    n = F.when(n > 0, n)
+    guided, auto = t.isin(*PRESETS), t.isin(*AUTO)
+    mode = F.when(n.isNotNull(), "fixed").when(auto, "auto").when(guided, "ai_guided").otherwise("fixed")
+    return F.struct(
+        mode.alias("mode"), F.when(t == "", F.lit(str(default))).otherwise(t).alias("raw"), F.when(mode == "fixed", F.coalesce(n, F.lit(default))).alias("tokens"),
+        F.when(guided, t).alias("hint"), ((mode == "fixed") & n.isNull() & (t != "")).alias("ignored"),
+    )
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once, so that generated code stays small."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _tier(scope: Scope) -> Column:
+    """F16: the preset's number, from 0."""
+    score = sum((F.when(rule(scope), n).otherwise(0) for n, _, rule in SCOPE_RULES[1:]), F.when(SCOPE_RULES[0][2](scope), SCOPE_RULES[0][0]).otherwise(0))
+    return _bound(score, lambda s: F.when(s <= -1, 0).when(s <= 1, 1).when(s <= 3, 2).otherwise(3))
+
+
+def preset_column(scope: Scope) -> Column:
+    """F16 over columns: struct of preset and reasons."""
+    preset = F.element_at(F.array(*map(F.lit, PRESETS)), _tier(scope) + 1)
+    why = F.slice(F.array_compact(F.array(*[F.when(rule(scope), F.lit(w)) for _, w, rule in SCOPE_RULES])), 1, 4)
+    return F.struct(preset.alias("preset"), _bound(why, lambda w: F.when(F.size(w) > 0, F.array_join(w, ", ")).otherwise("ordinary repository")).alias("reasons"))
+
+
+def resolved_column(request: Column, scope: Scope, context_window: Column, expansion: int = EXPANSION) -> Column:
+    """F17 over columns: struct of preset (null for fixed budgets) and tokens."""
+    names, sizes, chat = F.array(*map(F.lit, PRESETS)), F.array(*map(F.lit, PRESETS.values())), scope.chat > 0
+    hinted = F.coalesce(F.nullif(F.array_position(names, request["hint"]), F.lit(0)), F.lit(2)).cast("int") - 1
+    guided = _bound(hinted, lambda k: F.when((scope.files >= 5000) & ~chat, F.least(k + 1, F.lit(len(PRESETS) - 1))).when(chat, F.greatest(k - 1, F.lit(0))).otherwise(k))
+    tier = F.when(request["mode"] == "auto", _tier(scope)).when(request["mode"] == "ai_guided", guided)
+    grows = ~chat & (F.coalesce(context_window, F.lit(0)) != 0)
+    limit = F.least(F.greatest(F.lit(0), context_window - PADDING), F.lit(EXPANDED_MAX))
+
+    def struct(k: Column) -> Column:
+        own = F.element_at(sizes, k + 1)
+        tokens = F.when(k.isNull(), request["tokens"]).when(grows, F.greatest(own, F.least(own * max(1, expansion), limit))).otherwise(own)
+        return F.struct(F.when(k.isNotNull(), F.element_at(names, k + 1)).alias("preset"), tokens.cast("long").alias("tokens"))
+
+    return _bound(tier, struct)

@@ -7,9 +7,10 @@ recursive SQL rejects aggregates in the recursive part; each keeps its state as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import scores
 from graphloom.plans.session import saved
 
 FANOUT_CAP = 1000
@@ -88,10 +89,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = No
             lost = base.filter("ends").count() / n
         into = rank.join(flow, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = damping * (F.coalesce("got", F.lit(0.0)) + lost * F.col("p")) + (1 - damping) * F.col("p")
-        # one reference to the last round per plan, so plans don't grow: two scalars come back
-        rank = saved(rank.join(into, F.col("node") == F.col("dst"), "left").select("node", "p", "ends", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
-        lost, change = rank.agg(F.coalesce(F.sum(F.when(F.col("ends"), F.col("rank"))), F.lit(0.0)), F.sum("change")).first()
-        rank = rank.drop("change")
+        # two scalars are observed by the job that saves the round, so a round is one job
+        sums = Observation()
+        step = rank.join(into, F.col("node") == F.col("dst"), "left").select("node", "p", "ends", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
+        rank = saved(step.observe(sums, F.coalesce(F.sum(F.when(F.col("ends"), F.col("rank"))), F.lit(0.0)).alias("lost"), F.sum("change").alias("change"))).drop("change")
+        lost, change = sums.get["lost"], sums.get["change"]
         if rounds is None and change < n * tolerance:
             return rank.select("node", "rank")
     return rank.select("node", "rank") if rounds is not None else rank.select("node", F.lit(1.0).alias("rank"))
@@ -184,3 +186,42 @@ def file_tag_stats(tags: DataFrame, show: int = 5, lines: int = 10) -> DataFrame
     )
     names = F.transform(F.when(F.size("d") > 0, F.col("d")).otherwise(F.col("r")), lambda x: x["name"])
     return counts.join(sample, "rel_path").select("rel_path", "definition_count", "reference_count", names.alias("symbols"), "lines_of_interest")
+
+
+def ranked_tags(tags: DataFrame, files: DataFrame, identifiers=(), **weights) -> DataFrame:
+    """(rank, rel_path, line, name, kind) of definitions, best first; a tag with a
+    mentioned name ranks above its file's others. files: rel_path, eff, boost, is_mentioned, is_chat."""
+    own = F.col("name").isin(*identifiers) if identifiers else F.lit(False)
+    rank = scores.tag_score(F.col("eff"), own, F.col("is_mentioned"), F.col("is_chat"), F.col("boost"), **weights)
+    rows = tags.filter("kind = 'def'").select("rel_path", "line", "name", "kind").distinct().join(files, "rel_path")
+    return rows.select(rank.alias("rank"), "rel_path", "line", "name", "kind").orderBy(F.desc("rank"), "rel_path", "line", "name", "kind")
+
+
+def tags_by_file(ranked: DataFrame) -> DataFrame:
+    """One row per file, by its best tag and then path: (rel_path, rank, tags)."""
+    tag = F.struct((-F.col("rank")).alias("r"), "line", "name", "kind")
+    g = ranked.groupBy("rel_path").agg(F.max("rank").alias("rank"), F.sort_array(F.collect_list(tag)).alias("t"))
+    return g.select("rel_path", "rank", F.transform("t", lambda x: x.dropFields("r")).alias("tags")).orderBy(F.desc("rank"), "rel_path")
+
+
+def boundary_symbols(steps: DataFrame, key: list[str], show: int = 8) -> DataFrame:
+    """The first distinct symbols along a path, without synthetic ones. steps: key, position, symbols."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("position", "symbols"))), lambda x: x["symbols"])
+    real = F.filter(F.array_distinct(F.flatten(ordered)), lambda x: ~x.startswith("__"))
+    return steps.groupBy(*key).agg(F.slice(real, 1, show).alias("boundary"))
+
+
+def flat_hops(steps: DataFrame, key: list[str], show: int = 16) -> DataFrame:
+    """The distinct hops of a path in order. steps: key, position, source, target, hops."""
+    own = F.transform("hops", lambda h: F.struct("source", "target", h.alias("hop")))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("position", own.alias("own")))), lambda x: x["own"])
+    return steps.groupBy(*key).agg(F.slice(F.array_distinct(F.flatten(ordered)), 1, show).alias("hops"))
+
+
+def boundary_locations(impact: DataFrame, tags: DataFrame, show: int = 12) -> DataFrame:
+    """(path, k, rel_path, name, line, kind): definitions and references of a path's boundary
+    symbols in its files. impact: path, path_from_seed, boundary."""
+    on = impact.select("path", F.posexplode("path_from_seed").alias("at", "rel_path"), "boundary").select("path", "at", "rel_path", F.explode("boundary").alias("name"))
+    hit = on.join(tags.filter("kind in ('def', 'ref')").select("rel_path", "name", "line", "kind").distinct(), ["rel_path", "name"])
+    k = F.row_number().over(Window.partitionBy("path").orderBy("at", "name", "line", "kind"))
+    return hit.withColumn("k", k).filter(F.col("k") <= show).select("path", "k", "rel_path", "name", "line", "kind")

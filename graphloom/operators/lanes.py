@@ -1,7 +1,6 @@
 """Follow-up lanes over impact rows.
 
-Not built: the choice of an anchor, its file-level fallback and its view (L6-L8), and the texts of
-actions (L9). edit_candidates is anchored at the target file only.
+Anchors and texts of actions (L6-L9) are in anchors.py; edit_candidates names the target file.
 
 Impact rows: path, seed, distance, path_length, is_test, is_api, is_entry, is_important,
 summary_kind, hunk (distance to the closest changed hunk), n_changed, boundary and changed

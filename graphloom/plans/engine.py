@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import content, paths, scores, summaries
-from graphloom.operators import budget, graph, hunks, lanes, links, related, search
+from graphloom.operators import anchors, budget, graph, hunks, lanes, links, related, search
+from graphloom.sources import git
 from graphloom.sources.config import Config, load_config
 from graphloom.sources.tags import extract_tags
 from graphloom.sources.tree import read_tree
@@ -90,7 +91,7 @@ class CodeGraph:
         name = F.lower("name")
         found = lambda c, xs: F.array_compact(F.array(*[F.when(F.contains(c, F.lit(t)), F.lit(t)) for t in xs])) if xs else F.array().cast("array<string>")
         stats = graph.file_tag_stats(self.tags if "pos" in self.tags.columns else self.tags.withColumn("pos", F.lit(0)))
-        hits = self.tags.groupBy("rel_path").agg(F.array_distinct(F.flatten(F.collect_set(found(name, terms)))).alias("hit"), F.sort_array(F.collect_set(F.when(F.col("name").isin(*identifiers) if identifiers else F.lit(False), F.col("name")))).alias("mentioned_identifiers"))
+        hits = self.tags.groupBy("rel_path").agg(F.array_distinct(F.flatten(F.collect_set(found(name, terms)))).alias("hit"), F.sort_array(F.collect_set(F.when(F.col("name").isin(*identifiers) if identifiers else F.lit(False), F.col("name")))).alias("mentioned_identifiers"), F.max((F.col("kind") == "def") & (F.col("name").isin(*identifiers) if identifiers else F.lit(False))).alias("defines_mentioned"))
         none = F.array().cast("array<string>")
         d = self.roles.join(rank, "rel_path").join(stats, "rel_path", "left").join(hits, "rel_path", "left").join(graph.neighbours(self.edges).withColumnRenamed("node", "rel_path"), "rel_path", "left")
         if changed:
@@ -111,18 +112,33 @@ class CodeGraph:
         rfloor, rboost = scores.role_context(F.size("entry_signals"), F.size("api_signals"), F.col("is_test"), w.entrypoint, w.public_api)
         cfloor, cboost = scores.changed_context(F.col("changed_distance"))
         d = d.withColumns({"own": F.greatest(ranked, rfloor, cfloor), "boost": qboost * rboost * cboost})
-        lift = self.tests.select("source", F.col("test").alias("rel_path")).distinct().join(d.select(F.col("rel_path").alias("source"), "own", "boost", "is_chat", "is_mentioned"), "source").groupBy("rel_path").agg(F.max(F.col("own") * F.when(F.col("is_chat"), 4.0).otherwise(1.0) * F.when(F.col("is_mentioned"), 1.5).otherwise(1.0) * F.least("boost", F.lit(2.0)) * 0.5 * w.related_test).alias("lift"))
-        d = d.join(lift, "rel_path", "left").withColumn("eff", F.greatest("own", F.coalesce("lift", F.lit(0.0))))
+        d = d.join(related.test_lift(d, self.tests, w.related_test), "rel_path", "left").withColumn("eff", F.greatest("own", F.coalesce("lift", F.lit(0.0))))
         extra = self._supplemental(d)
         d = d.join(extra, "rel_path", "left").withColumn("extra_lines", F.coalesce("extra_lines", F.array().cast("array<int>")))
         if exclude_unranked:
             d = d.filter((F.col("eff") > UNRANKED) | (F.size("extra_lines") > 0))
         base = lambda r, ident: scores.tag_score(r, ident, F.col("is_mentioned"), F.col("is_chat"), F.col("boost"), w.mentioned_identifier, w.mentioned_file, w.chat_file)
-        by_def = F.when(F.col("definition_count") > 0, base(F.col("eff"), F.size("mentioned_identifiers") > 0))
+        by_def = F.when(F.col("definition_count") > 0, base(F.col("eff"), F.coalesce("defines_mentioned", F.lit(False))))
         by_extra = F.when(F.size("extra_lines") > 0, base(F.greatest(F.col("eff") * 4, F.lit(0.02)), F.lit(False)))
         d = d.withColumn("score", F.greatest(by_def, by_extra)).filter("score is not null")
         loi = F.slice(F.array_sort(F.array_distinct(F.concat(F.coalesce("lines_of_interest", F.array().cast("array<int>")), "extra_lines"))), 1, 10)
-        return d.withColumn("reasons", lanes.reasons(d)).withColumn("lines_of_interest", loi).withColumn("base_rank", F.col("rank")).withColumn("rank", F.col("score")).drop("score", "hit", "lift", "own", "path_entry", "path_api")
+        return d.withColumn("reasons", lanes.reasons(d)).withColumn("lines_of_interest", loi).withColumn("base_rank", F.col("rank")).withColumn("rank", F.col("score")).drop("score", "hit", "lift", "own", "path_entry", "path_api", "defines_mentioned")
+
+    def ranked_tags(self, identifiers=(), **how) -> DataFrame:
+        """Definitions by their own rank: (rank, rel_path, line, name, kind)."""
+        w = self.config.weights
+        files = self.ranked(identifiers=identifiers, **how).select("rel_path", "eff", "boost", "is_mentioned", "is_chat")
+        return graph.ranked_tags(self.tags, files, identifiers, w_ident=w.mentioned_identifier, w_file=w.mentioned_file, w_chat=w.chat_file)
+
+    @cached_property
+    def root_files(self) -> dict[str, str]:
+        """The texts of the few project files that tell of test runners."""
+        names = "pytest.ini .pytest.ini conftest.py pyproject.toml requirements.txt setup.cfg tox.ini package.json".split()
+        return {r["rel_path"]: r["text"] or "" for r in self.files.filter(F.col("rel_path").isin(*names)).select("rel_path", "text").collect()}
+
+    def commands(self, paths: Column) -> Column:
+        """The command that runs tests at these paths."""
+        return related.test_commands(paths, git.python_runner(self.root_files, self.config.python_runner), git.js_runner(self.root_files, self.config.js_runner))
 
     def _supplemental(self, d: DataFrame) -> DataFrame:
         """Lines of files whose importance no definition shows: documents, tests, roles."""
@@ -133,14 +149,16 @@ class CodeGraph:
         rows = pick(docs, "doc").unionByName(pick(tests, "test")).unionByName(roles)
         return rows.groupBy("rel_path").agg(F.sort_array(F.collect_set(F.col("line").cast("int"))).alias("extra_lines"))
 
-    def map(self, budget_tokens=None, chat=(), context_window: int | None = None, **how) -> tuple[str, DataFrame]:
-        """Q1: the map text and the files in it, by rank."""
+    def map(self, budget_tokens=None, chat=(), context_window: int | None = None, count=None, **how) -> tuple[str, DataFrame]:
+        """Q1: the map text and the files in it, by rank. count: a column function of tokens in a
+        text, white-space words if none is given."""
         ranked = saved(self.ranked(chat=chat, **how))
-        limit = budget.resolve_budget(budget.parse_budget(budget_tokens), self.files.count(), len(chat), context_window)
-        sections = content.map_sections(self.files.join(ranked.select("rel_path", "rank"), "rel_path"), ranked.select("rel_path", "lines_of_interest"))
-        priced = ranked.join(sections, "rel_path").filter(~F.col("is_chat")).withColumn("cost", budget.words(F.col("section")))
+        scope = budget.Scope(self.files.count(), len(chat), len(how.get("mentioned", ())), len(scores.query_terms(how.get("query", ""))), len(how.get("changed", ())), how.get("neighbors", 0))
+        limit = budget.resolve_budget(budget.parse_budget(budget_tokens), scope, context_window)
+        sections = content.map_sections(self.files.join(ranked.select("rel_path", "rank"), "rel_path"), ranked.select("rel_path", "lines_of_interest", "summary_kind", "summary_items"))
+        priced = ranked.join(sections, "rel_path").filter(~F.col("is_chat")).withColumn("cost", (count or budget.words)(F.col("section")))
         chosen = saved(budget.pack(priced, limit.tokens).filter("included"))
-        text = chosen.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "rel_path", "section"))), lambda x: x["section"]), "\n\n")).first()[0]
+        text = chosen.agg(content.joined_sections()).first()[0]
         return text or "", chosen.drop("section", "included").orderBy(F.desc("rank"), "rel_path")
 
     # Q2
@@ -156,23 +174,19 @@ class CodeGraph:
         if row is None:
             return {"error": f"no path within {max_hops} hops", "path": [], "steps": []}
         out = [s.asDict(recursive=True) for s in steps]
-        flat: list[dict] = []
-        for s in out:
-            flat += [h for h in ({"source": s["source"], "target": s["target"], **h} for h in s["hops"]) if h not in flat]
+        flat = list({str(h): h for s in out for h in ({"source": s["source"], "target": s["target"], **h} for h in s["hops"])}.values())
         return {"error": None, "path": row["path"], "steps": out, "symbol_path": flat[:16]}
 
     # Q3
     def impact(self, seeds, changed: DataFrame | None = None, max_depth: int = 2, max_results: int = 10) -> dict[str, DataFrame]:
         """Impacted files within max_depth of the seeds and the lanes over them. changed:
         (rel_path, line) of changed lines of the seeds."""
-        s = self.spark.createDataFrame([(x,) for x in dict.fromkeys(seeds)], "node string")
+        s = seeds.select(F.col("rel_path").alias("node")) if isinstance(seeds, DataFrame) else self.spark.createDataFrame([(x,) for x in dict.fromkeys(seeds)], "node string")
         near = graph.khop(self.nav, s, max_depth)
         steps = graph.connection_steps(near, self.nav, ["node", "seed"])
         none = F.array().cast("array<string>")
-        real = lambda a: F.filter(F.array_distinct(F.flatten(a)), lambda x: ~x.startswith("__"))
-        ordered = F.transform(F.sort_array(F.collect_list(F.struct("position", "symbols", "relation"))), lambda x: x["symbols"])
         rel = F.transform(F.sort_array(F.collect_list(F.struct("position", "relation"))), lambda x: x["relation"])
-        bound = steps.groupBy("node").agg(F.slice(real(ordered), 1, 8).alias("boundary"), rel.alias("relations"))
+        bound = graph.boundary_symbols(steps, ["node"]).join(steps.groupBy("node").agg(rel.alias("relations")), "node")
         rows = near.join(bound, "node", "left").join(self.roles.withColumnRenamed("rel_path", "node"), "node")
         if changed is not None:
             near_changed = hunks.changed_symbols(self.tags, hunks.hunks(changed)).groupBy(F.col("rel_path").alias("seed")).agg(F.map_from_entries(F.collect_list(F.struct("symbol", "distance"))).alias("cs"))
@@ -187,23 +201,23 @@ class CodeGraph:
         top = saved(lanes.top_impact(rows, max_results))
         suggested = lanes.suggestions(top)
         actions = saved(lanes.quick_actions(top, suggested))
+        places = graph.boundary_locations(top, self.tags)
+        focus = self.tags.filter("kind = 'def'").join(top.select(F.col("path").alias("rel_path")), "rel_path", "left_semi").groupBy(F.col("rel_path").alias("path")).agg(F.slice(F.sort_array(F.collect_set("line")), 1, 10).alias("focus_lines"))
+        targets = top.select("path", "hunk", "changed").join(focus, "path", "left").withColumn("focus_lines", F.coalesce("focus_lines", F.array().cast("array<int>")))
+        named = self.files.join(top.select(F.explode("path_from_seed").alias("rel_path")).distinct(), "rel_path", "left_semi")
+        snippets = saved(anchors.boundary_snippets(places, named))
         candidates = lanes.edit_candidates(actions)
+        run = F.when(F.col("kind") == "run_nearby_test", self.commands(F.array("target")))
+        full = saved(anchors.anchored(actions, targets, snippets, named).withColumn("command", run).orderBy("priority", F.desc("confidence"), "path_length", "target", "kind"))
         seen = hunks.changed_symbols(self.tags, hunks.hunks(changed)).select("symbol") if changed is not None else None
-        return {"files": top, "suggestions": suggested, "actions": actions, "candidates": candidates, "plan": lanes.edit_plan(actions, candidates), "symbols": lanes.shared_symbols(top, seen), "clusters": lanes.test_clusters(top), "locations": self.locations(top)}
-
-    def locations(self, impact: DataFrame, show: int = 12) -> DataFrame:
-        """Definitions and references of boundary symbols in the files of each path."""
-        on = impact.select("path", F.posexplode("path_from_seed").alias("at", "rel_path"), "boundary").select("path", "at", "rel_path", F.explode("boundary").alias("name"))
-        hit = on.join(self.tags.filter("kind in ('def', 'ref')").select("rel_path", "name", "line", "kind").distinct(), ["rel_path", "name"])
-        k = F.row_number().over(Window.partitionBy("path").orderBy("at", "name", "line", "kind"))
-        return hit.withColumn("k", k).filter(F.col("k") <= show).select("path", "rel_path", "name", "line", "kind")
+        return {"files": top, "suggestions": suggested, "actions": full, "snippets": snippets, "candidates": candidates, "plan": lanes.edit_plan(actions, candidates), "symbols": lanes.shared_symbols(top, seen), "clusters": lanes.test_clusters(top).withColumn("command", self.commands(F.col("paths"))), "locations": places.drop("k")}
 
     # Q4
     def review(self, changed: DataFrame, max_depth: int = 2, max_results: int = 10) -> dict[str, DataFrame]:
         """The impact of changed files, their roles, and one queue of what to look at first."""
-        names = [r["rel_path"] for r in changed.select("rel_path").distinct().join(self.files.select("rel_path"), "rel_path", "left_semi").collect()]
+        names = saved(changed.select("rel_path").distinct().join(self.files.select("rel_path"), "rel_path", "left_semi"))
         report = self.impact(names, changed, max_depth, max_results)
-        own = self.roles.filter(F.col("rel_path").isin(*names) if names else F.lit(False)).select(F.col("rel_path").alias("path"), "is_test", (F.size("api_signals") > 0).alias("is_api"), (F.size("entry_signals") > 0).alias("is_entry"), "summary_kind", "entry_signals", "api_signals")
+        own = self.roles.join(names, "rel_path", "left_semi").select(F.col("rel_path").alias("path"), "is_test", (F.size("api_signals") > 0).alias("is_api"), (F.size("entry_signals") > 0).alias("is_entry"), "summary_kind", "entry_signals", "api_signals")
         own = own.withColumn("role", lanes.review_role())
         return report | {"changed": own.orderBy("role", "path"), "focus": lanes.review_focus(own, report["actions"], report["clusters"])}
 

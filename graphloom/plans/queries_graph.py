@@ -13,6 +13,8 @@ from graphloom.operators import hunks as H
 from graphloom.operators import search as X
 from graphloom.sources import tables as T
 
+from .session import saved
+
 ROUNDS = 10
 QUERY = "the ation of code"
 BUDGET = 8192
@@ -108,9 +110,9 @@ def rank_sql(personal: bool) -> str:
     return f"{SIDES}, flow AS MATERIALIZED (SELECT src, dst, weight::DOUBLE / sum(weight) OVER (PARTITION BY src) AS share FROM edges), {', '.join(steps)}"
 
 
-def ranks(spark, d, personal=False):
+def ranks(spark, d, personal=False, tags=None):
     chat = spark.createDataFrame([("doc/0", 100.0), ("doc/3", 100.0)], "node string, weight double") if personal else None
-    return G.pagerank(nodes(spark, d), G.rank_edges(T.tags(spark, d)), chat, rounds=ROUNDS)
+    return G.pagerank(nodes(spark, d), G.rank_edges(T.tags(spark, d) if tags is None else tags), chat, rounds=ROUNDS)
 
 
 @query("g1_pagerank_uniform", f"WITH {rank_sql(False)} SELECT node, round(rank, 9) AS rank FROM r{ROUNDS}")
@@ -126,10 +128,10 @@ def personalized(spark, d):
 def scored(spark, d) -> DataFrame:
     """R1-R10 and P9 over documents: chat and mentioned files and identifiers by fixed rules."""
     terms = S.query_terms(QUERY)
-    tags = T.tags(spark, d)
+    tags = saved(T.tags(spark, d))  # read by the statistics, the terms and the edges
     stats = G.file_tag_stats(tags)
     hits = tags.groupBy("rel_path").agg(*[F.max(F.contains("name", F.lit(t)).cast("int")).alias(f"t{k}") for k, t in enumerate(terms)], F.max((F.col("name") == "code").cast("int")).alias("ident"))
-    r = nodes(spark, d).withColumnRenamed("node", "rel_path").join(ranks(spark, d).withColumnRenamed("node", "rel_path"), "rel_path").join(stats, "rel_path", "left").join(hits, "rel_path", "left")
+    r = nodes(spark, d).withColumnRenamed("node", "rel_path").join(ranks(spark, d, tags=tags).withColumnRenamed("node", "rel_path"), "rel_path").join(stats, "rel_path", "left").join(hits, "rel_path", "left")
     path_hits = sum((F.contains("rel_path", F.lit(t)).cast("int") for t in terms), F.lit(0))
     symbol_hits = sum((F.coalesce(F.col(f"t{k}"), F.lit(0)) for k in range(len(terms))), F.lit(0))
     floored, boost = S.query_context(F.col("rank"), path_hits, symbol_hits)

@@ -11,9 +11,10 @@ from graphloom.operators.budget import pack
 
 from . import queries_graph as graph
 from . import queries_lanes as lanes
+from . import queries_more as more
 from . import queries_tree as tree
 
-MODULES = (graph, lanes, tree)
+MODULES = (graph, lanes, tree, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -49,16 +49,41 @@ def test_query_terms():
     assert scores.query_terms("How the Auth-login flow; a x auth") == ["auth", "login", "flow"]
 
 
-def test_budget_parsing():
-    assert budget.parse_budget(None).tokens == 8192 and budget.parse_budget("small").tokens == 2048 and budget.parse_budget(" 77 ").tokens == 77
-    assert budget.parse_budget({"mode": "auto", "preset": "large"}) == budget.Budget("auto", 8192, "large")
-    for bad in ("no", 0, -3, True, {"mode": "x"}):
-        with pytest.raises(ValueError):
-            budget.parse_budget(bad)
-    broad = budget.resolve_budget(budget.parse_budget("auto"), 3200)
-    focused = budget.resolve_budget(budget.parse_budget("auto"), 24, chat_files=1)
-    assert broad.tokens > focused.tokens
-    assert budget.resolve_budget(budget.parse_budget("auto"), 3200, context_window=9000).tokens == 9000 - 1024
+def test_budget_requests_fall_back_with_a_diagnostic():
+    p = budget.parse_budget
+    fixed = lambda x: (x.mode, x.tokens, x.diagnostic is None)
+    assert fixed(p(None)) == fixed(p("")) == fixed(p("  ")) == ("fixed", 8192, True) and fixed(p(" 77 ")) == ("fixed", 77, True) and p(3000).raw == "3000"
+    for bad in (0, -3, "-3", "foo", "0", [1], float("nan"), {"mode": "odd"}):
+        assert fixed(p(bad)) == ("fixed", 8192, False)
+    assert (p("small").mode, p("small").hint) == ("ai_guided", "small") and p("Dynamic").mode == p(" auto").mode == "auto"
+    assert p({"mode": "guided"}).hint == "medium" and p({"tokens": "500"}).tokens == 500 and p({"size": "Large"}).hint == "large" and p({}).mode == "auto"
+    assert p({"mode": "fixed"}).tokens == 8192 and p({"mode": "ai", "hint": "huge", "tokens": 9}) == budget.Request("ai_guided", '{"hint": "huge", "mode": "ai", "tokens": 9}', 9, "medium")
+
+
+def test_budget_resolution():
+    def tokens(value, files, window=None, **scope):
+        return budget.resolve_budget(budget.parse_budget(value), budget.Scope(files, **scope), window).tokens
+
+    assert tokens("auto", 24) == 2048 and tokens("auto", 100) == 4096 and tokens("auto", 1500) == 8192 and tokens("auto", 6000, terms=7) == 12288
+    assert tokens("auto", 6000, terms=8, mentioned=3) == 12288 > tokens("auto", 24, chat=1) == 2048
+    assert tokens("auto", 1000, changed=2) == 4096 and tokens("auto", 1000, changed=2, depth=1) == 8192
+    assert tokens("large", 5000) == 12288 and tokens("large", 100, chat=1) == 4096 and tokens("small", 10, chat=2) == 2048 and tokens("xlarge", 9000) == 12288
+    assert tokens("small", 100, 9000) == 9000 - 1024 and tokens("small", 100, 128000) == 16384 and tokens("small", 100, 2000) == 2048 and tokens("small", 100, 128000, chat=1) == 2048
+    assert tokens(700, 6000, 128000) == 700
+
+
+def test_budget_columns_equal_the_plain_rules(spark):
+    given = ["auto", " LARGE ", "12", "-5", "+7", "1_0", "foo", "", None, "dynamic", "xlarge", "0"]
+    rows = [(x, *s, w) for n, x in enumerate(given) for s in ((10, 0, 0, 0, 0, 0), (300, 0, 3, 7, 1, 1), (6000, 0, 0, 3, 0, 2), (6000, 2, 1, 0, 4, 0)) for w in (None, 0, 2500, 128000)]
+    d = spark.createDataFrame(rows, "given string, files int, chat int, mentioned int, terms int, changed int, depth int, wide int")
+    scope = budget.Scope(*[F.col(c) for c in ("files", "chat", "mentioned", "terms", "changed", "depth")])
+    r = budget.request_columns(F.col("given"))
+    for x in d.select("*", r.alias("r"), budget.resolved_column(r, scope, F.col("wide")).alias("b"), budget.preset_column(scope).alias("a")).collect():
+        own = budget.Scope(x["files"], x["chat"], x["mentioned"], x["terms"], x["changed"], x["depth"])
+        q = budget.parse_budget(x["given"])
+        assert (x["r"]["mode"], x["r"]["raw"], x["r"]["tokens"], x["r"]["hint"], x["r"]["ignored"]) == (q.mode, q.raw, q.tokens, q.hint, q.diagnostic is not None)
+        out = budget.resolve_budget(q, own, x["wide"])
+        assert (x["b"]["preset"], x["b"]["tokens"]) == (out.preset, out.tokens) and tuple(x["a"]) == budget.auto_preset(own)
 
 
 @settings(max_examples=15, deadline=None)
