@@ -199,8 +199,9 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     bundles = index.select("bundle").distinct()
     n = bundles.count()
     tasks = max(1, min(n, 4 * index.sparkSession.sparkContext.defaultParallelism), -(-n // BUNDLES_PER_TASK))
-    # a number given keeps the planner from putting all names, which are small, into one task
-    return bundles.repartition(tasks, "bundle").mapInArrow(read, RECORD)
+    # dealt by number and not by name, which the planner would merge with the exchange of distinct()
+    # and then put all names, which are small, into one task
+    return bundles.repartition(tasks).mapInArrow(read, RECORD)
 
 
 def read_record(folder: str, bundle: str, frame: int, offset: int) -> tuple:
