@@ -8,7 +8,9 @@ of all rows is spread over all its bins, so no task sees more than a bin of it.
 
 Nulls: a null source is a source of its own and sorts last; a null text has size 0; a null
 id is keyed as the empty text. Rows of size 0 are never taken. Equal rows are told apart by
-nothing, so which of them meets the cut doesn't matter. An empty table gives no rows.
+nothing, so which of them meets the cut doesn't matter. Columns of the input named size, source_size,
+target or taken give way to the results; others may have any names. An empty table gives no rows.
+Sources are numbered and walked in one task (one row each), so they must be fewer than fit one task.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ BIN_DIGITS = 3
 
 def source_key(source: str) -> Column:
     """Sorts by code point, null last."""
-    c = F.col(source).cast("string")
+    c = F.col(f"`{source}`").cast("string")
     return F.when(c.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), c))
 
 
@@ -69,24 +71,23 @@ def mix_to_targets(
     whole=False cuts inside the document at which the budget ends, so a source's taken
     tokens equal its target rounded down. whole=True takes documents only as wholes; the
     one at the cut is taken if most of it lies before the cut."""
-    k, b, h, run, start = fresh(docs, "src", "bin", "hash", "run", "start")
-    keyed = (
-        docs.withColumn("size", size)
-        .withColumn(k, source_key(source))
-        .withColumn(h, F.substring(F.md5(F.encode(F.concat(F.lit(seed), id_text(id_col)), "UTF-8")), 1, 16))
-        .withColumn(b, F.substring(h, 1, BIN_DIGITS))
-    )
-    bins = keyed.groupBy(k, b).agg(F.sum("size").alias("__bin_size"))
-    goals = targets(bins.groupBy(k).agg(F.sum("__bin_size").alias("__size")), k, "__size", weights, cap)
-    before = Window.partitionBy(k).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    starts = bins.withColumn(start, F.coalesce(F.sum("__bin_size").over(before), F.lit(0))).join(goals, k).select(k, b, start, "source_size", "target")
-    inside = Window.partitionBy(k, b).orderBy(h, id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = keyed.withColumn(run, F.sum("size").over(inside)).join(starts, [k, b])
+    rest = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
+    # the input's columns are in one struct, so no helper's name can meet one of theirs
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(c) for c in rest])
+    keyed = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), source_key(source).alias("k"), size.alias("size"))
+    keyed = keyed.withColumn("h", F.substring(F.md5(F.encode(F.concat(F.lit(seed), id_text("id")), "UTF-8")), 1, 16)).withColumn("b", F.substring("h", 1, BIN_DIGITS))
+    bins = keyed.groupBy("k", "b").agg(F.sum("size").alias("bin_size"))
+    goals = targets(bins.groupBy("k").agg(F.sum("bin_size").alias("own")), "k", "own", weights, cap)
+    before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = bins.withColumn("start", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).join(goals, "k").select("k", "b", "start", "source_size", "target")
+    inside = Window.partitionBy("k", "b").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = keyed.withColumn("run", F.sum("size").over(inside)).join(starts, ["k", "b"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = F.floor("target").cast("long") - epochs * F.col("source_size")
-    ahead = F.col(start) + F.col(run) - F.col("size")
+    ahead = F.col("start") + F.col("run") - F.col("size")
     last = F.when(2 * ahead + F.col("size") <= 2 * left, F.col("size")).otherwise(F.lit(0)) if whole else F.greatest(F.lit(0), F.least(F.col("size"), left - ahead))
-    return rows.withColumn("taken", (epochs * F.col("size") + last).cast("long")).drop(k, b, h, run, start)
+    out = rows.withColumn("taken", (epochs * F.col("size") + last).cast("long"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
