@@ -382,3 +382,209 @@ def test_pipeline_stages(spark, tmp_path, rows):
     assert out and all(r["decoded_sha256"] in texts for r in out)
     ids = {r["doc_id"] for r in out}
     assert not ids & {1, 2, 3, 4, 5, 7, 10}
+
+
+BIG = 2**53 + 1
+
+
+def test_ids_beyond_doubles_keep_all_digits(spark, tmp_path):
+    big = "<p>" + "x" * 200
+    pages = spark.createDataFrame([(BIG, "u", big), (BIG + 2, "u", big), (BIG + 4, "u", "other"), (None, None, None)], "page_id long, url string, html string").coalesce(1)
+    out = warc.read_archives(warc.write_archives(pages, str(tmp_path / "w")), str(tmp_path / "w")).collect()
+    assert {(r["page_id"], r["refers_to"]) for r in out} == {(BIG, None), (BIG + 2, BIG), (BIG + 4, None), (None, None)}
+    docs = spark.createDataFrame([(BIG, "a b"), (BIG + 2, "a"), (None, "b")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in hmm_lm.score_documents(docs, str(tmp_path / "h")).collect()} == {BIG, BIG + 2, None}
+    assert {r["doc_id"] for r in near_dup.near_duplicates(docs).collect()} == {BIG, BIG + 2, None}
+
+
+def test_archives_are_read_in_several_tasks(spark, tmp_path):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # else these few rows make one bundle
+    pages = spark.createDataFrame([(k, "u", words(50, k)) for k in range(60)], "page_id long, url string, html string").repartition(6)
+    index = warc.write_archives(pages, str(tmp_path / "w"))
+    spark.conf.unset(key)
+    assert index.select("bundle").distinct().count() > 1
+    assert warc.read_archives(index, str(tmp_path / "w")).rdd.getNumPartitions() > 1
+
+
+def test_large_groups_of_near_copies_lose_no_link(spark):
+    """Copies around the threshold of one text: hardly two are equal, and some lie outside."""
+    base, r = words(60, 3).split(), random.Random(4)
+    rows = []
+    for n in range(1100):
+        w = list(base)
+        for k in r.sample(range(60), 1 if n % 3 else 3):
+            w[k] = f"edit{n}-{k}"
+        rows.append((n, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(d, 4).collect()}
+    want = {i: c for i, _, c in brute_components(rows, 4)}
+    assert len(set(want.values())) > 1 and sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+
+
+def test_one_row_per_group_of_texts_without_ids(spark):
+    a, b = words(40, 1), words(40, 2)
+    rows = [(None, a), (None, a), (None, b), (5, a + " tail"), (7, b), (7, words(40, 3)), (7, words(40, 3)), (None, ""), (None, ""), (9, None)]
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept == sorted([(5, a + " tail"), (7, b), (7, words(40, 3)), (None, ""), (None, ""), (9, None)], key=str)
+
+
+def test_recursions_take_bounded_memory_and_equal_each_other(monkeypatch):
+    import tracemalloc
+
+    rng, m = np.random.default_rng(3), hmm_lm.Hmm.initial(1)
+    lengths = np.array([1, 4, 7, 300, 2, 3000] + [40] * 600)
+    s = rng.integers(0, hmm_lm.SYMBOLS, lengths.sum()).astype(np.uint16)
+    whole = m.expected_and_likelihood(s, lengths)
+    monkeypatch.setattr(hmm_lm, "AREA", 1000)
+    assert all(np.allclose(a, b) for a, b in zip(whole, m.expected_and_likelihood(s, lengths), strict=True))
+    assert m.forward(s, lengths).sum() == pytest.approx(whole[3])
+    monkeypatch.undo()
+    lengths = np.array([60_000] + [50] * 511)
+    s = rng.integers(0, hmm_lm.SYMBOLS, lengths.sum()).astype(np.uint16)
+    tracemalloc.start()
+    m.expected(s, lengths)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # all steps of all lanes at once would take 250 MB for the symbols alone
+
+
+def test_language_model_score_equals_brute_force(spark, tmp_path):
+    r = random.Random(7)
+    vocab = [f"word{k}{'ab'[k % 2]}{k % 5}" for k in range(1500)]
+    rows = [(k, " ".join(vocab[min(int(r.expovariate(1 / 300)), 1499)] for _ in range(r.randint(0, 60))) + (" unseen" if k % 9 == 0 else "")) for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["score"] for x in hmm_lm.score_documents(d, str(tmp_path / "m")).collect()}
+    model = hmm_lm.fit(spark.read.parquet(str(tmp_path / "m" / "coded")))
+    toks = {i: t.encode().split() for i, t in rows}
+    c = Counter(w for i, t in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
+    h = {w: int(hmm_lm.pd.util.hash_array(np.array([w], dtype=object), categorize=False)[0]) for t in toks.values() for w in t}
+    top = {w: k + 1 for k, w in enumerate(sorted(c, key=lambda w: (-c[w], h[w]))[: hmm_lm.TOP])}
+    group = {w: zlib.crc32(w.rstrip(b".,;:!?")[-3:]) % hmm_lm.CLASSES for w in h}
+    size, kinds = Counter(), Counter()
+    for w, n in c.items():
+        if w not in top:
+            size[group[w]] += n
+            kinds[group[w]] += 1
+    assert len(top) == hmm_lm.TOP < len(c)
+    for i in list(toks)[::7]:
+        symbols = [top.get(w, 1 + hmm_lm.TOP + group[w]) for w in toks[i]] + [0]
+        p, log = model.start, 0.0
+        for n, x in enumerate(symbols):
+            p = (p @ model.move if n else p) * model.emit[:, x]
+            log += math.log10(p.sum())
+            p = p / p.sum()
+        log += sum(math.log10((c[w] + 1) / (size[group[w]] + kinds[group[w]] + 1)) for w in toks[i] if w not in top)
+        assert got[i] == pytest.approx(log, rel=1e-9)
+
+
+def brute_mcd(x: np.ndarray, starts: int = 40) -> float:
+    """The least log determinant over random starts of exact concentration steps."""
+    rng, h, best = np.random.default_rng(0), int(np.ceil(quality.H * len(x))), np.inf
+    for _ in range(starts):
+        own = x[rng.choice(len(x), 8, replace=False)]
+        for _ in range(30):
+            cov = np.cov(own.T, bias=True) + np.eye(x.shape[1]) * quality.FLOOR
+            off = x - own.mean(0)
+            own = x[np.argsort(np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off))[:h]]
+        best = min(best, np.linalg.slogdet(np.cov(own.T, bias=True) + np.eye(x.shape[1]) * quality.FLOOR)[1])
+    return best
+
+
+def test_covariance_estimate_is_near_the_least_determinant(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 6)) @ rng.normal(size=(6, 6)), rng.normal(8, 0.3, (60, 6))])
+    x = np.rint(x * quality.GRID) / quality.GRID
+    rows = spark.createDataFrame([("g", p.tolist()) for p in x], "g string, point array<double>")
+    fits = quality.starts(rows)
+    for _ in range(8):
+        fits = quality.concentrated(rows, fits)
+    got = quality.least(fits).collect()[0]
+    assert got["logdet"] <= brute_mcd(x) + 0.2 and len(fits.collect()) == 3
+    assert np.linalg.norm(np.array(got["centre"]) - np.median(x[:300], axis=0)) < 1.5  # the cluster of outliers has no part
+
+
+def test_small_groups_are_judged_as_their_language(spark):
+    text = lambda k: " ".join(words(60 + k % 50, k).split())
+    good = [(k, text(k), "en", f"s{k % 90}", 1, "x") for k in range(300)]
+    odd = [(900, " ".join(f"{x}***###" for x in words(80, 1).split()), "en", "alone", 1, "x")]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge_quality(spark.createDataFrame(good + odd, DOC)).collect()}
+    assert not kept[900] and sum(kept[k] for k in range(300)) >= 297
+
+
+def test_domain_edges_carry_mass_as_brute_force_says(spark):
+    hosts = ["a.x.net", "b.x.net", "deep.b.x.net", "y.net", "." * 200 + "z" * 100]
+    links = url_filter.domain_links(spark.createDataFrame([(h,) for h in hosts], "host string"))
+    edges = {(r["src"], r["dst"]) for r in links.collect()}
+    up = {("a.x.net", "x.net"), ("b.x.net", "x.net"), ("deep.b.x.net", "b.x.net")}
+    assert edges == up | {(b, a) for a, b in up}
+    seeds = spark.createDataFrame([("a.x.net", "trust", 3), ("y.net", "trust", 1), ("deep.b.x.net", "distrust", 1)], "host string, kind string, weight long")
+    got = {(r["host"], r["kind"]): r["mass"] / url_filter.UNITS for r in url_filter.propagate(links, seeds).collect()}
+    for kind, base in (("trust", {"a.x.net": 0.75, "y.net": 0.25}), ("distrust", {"deep.b.x.net": 1.0})):
+        mass, out = dict(base), {}
+        for a, b in edges:
+            out.setdefault(a if kind == "trust" else b, []).append(b if kind == "trust" else a)
+        for _ in range(url_filter.ROUNDS):
+            new, lost = Counter(), sum(m for h, m in mass.items() if h not in out)
+            for h, m in mass.items():
+                for t in out.get(h, []):
+                    new[t] += 0.85 * m / len(out[h])
+            for h, b in base.items():
+                new[h] += b * (0.15 + 0.85 * lost)
+            mass = new
+        assert all(got[h, kind] == pytest.approx(m, rel=1e-6, abs=1e-9) for h, m in mass.items())
+
+
+def test_neighbours_of_any_size_and_in_several_groups(spark):
+    rng = np.random.default_rng(1)
+    v = [*(rng.normal(size=(40, 4)) * 1e160), *rng.normal(size=(40, 4)), *(rng.normal(size=(40, 4)) * 1e-170)]
+    rows = [(k, [float(x) for x in e]) for k, e in enumerate(v)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(d, F.pmod("vec_id", F.lit(5)) == 0, k=3, query_block=4, candidate_block=16, group_blocks=2).collect()}
+    for q in range(0, 120, 5):
+        near = sorted((math.dist(v[q], v[k]), k) for k in range(120) if k != q)[:3]
+        assert [got[q, n + 1] for n in range(3)] == [k for _, k in near]
+
+
+def test_sharding_equals_brute_force(docs, rows):
+    def shard(i, shards):
+        node, tree = "", sharding.children(sharding.topology(shards))
+        for _ in range(3):
+            draw = lambda p: (int(hashlib.md5(f"{i}|{p}".encode()).hexdigest()[:13], 16) + 1) / (2**52 + 1)
+            node = min((-math.log(draw(p)) / w, p) for p, w in tree[node])[1]
+        return int(node.split("/")[-1])
+
+    for r in sharding.shard_documents(docs).collect():
+        i = "" if r["doc_id"] is None else r["doc_id"]
+        assert (r["shard"], r["grown_shard"]) == (shard(i, 16), shard(i, 17))
+
+
+CLASHES = ("source_size", "target", "taken", "size", "k", "b", "h", "id", "row", "run", "start", "g", "keys", "point", "centre", "inverse", "scale", "distance", "kept", "n_words", "fit", "s", "n", "bin", "hash", "slot", "shard", "score", "held_out", "host", "path", "rank", "component", "component_id", "u", "sketch", "held", "chunk", "payload", "digest", "url2", "d", "_", "__s", "__row", "__total", "y")
+
+
+@pytest.mark.parametrize("op", range(1, 11))
+def test_extra_columns_may_have_any_names(spark, rows, tmp_path, op):
+    base = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    wide = base.select("*", *[F.lit(f"x{n}").alias(c) for n, c in enumerate(CLASHES)])
+    pages = lambda d: d.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://a.b.com/"), F.coalesce("lang", F.lit(""))).alias("url"), F.col("text").alias("html"), *d.columns[4:])
+    vectors = lambda d: d.select(F.col("doc_id").alias("vec_id"), F.array(F.length("text").cast("double"), F.lit(1.0)).alias("embedding"), *d.columns[4:])
+    labels = spark.createDataFrame([(100, 1), (101, 0), (102, 1), (103, 0)], "doc_id long, toxic int")
+    folder = lambda d: str(tmp_path / str(len(d.columns)))
+    run = {
+        1: lambda d: mixing.mix_to_targets(d, mixing.word_count("text")).select("doc_id", "size", "taken"), 2: lambda d: near_dup.near_duplicates(d), 3: lambda d: warc.read_archives(warc.write_archives(pages(d), folder(d)), folder(d)).drop("record_id", "payload"),
+        4: lambda d: bpe.digest_documents(d), 5: lambda d: url_filter.judge_urls(pages(d)), 6: lambda d: ann.nearest(vectors(d), F.lit(True)), 7: lambda d: toxicity.score_toxicity(d, labels), 8: lambda d: quality.judge_quality(d).select("doc_id", "n_words", "kept", "distance"),
+        9: lambda d: sharding.shard_documents(d), 10: lambda d: hmm_lm.score_documents(d, folder(d)).drop("score"),
+    }[op]
+    assert sorted(map(str, run(wide).collect())) == sorted(map(str, run(base).collect()))
+
+
+def test_pipeline_takes_empty_tables_and_extra_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, n in (("none", 0), ("some", 40)):
+        docs = spark.createDataFrame([(k, words(60 + k, k), "en", "a", 1, "x", "y") for k in range(40)], "doc_id long, text string, lang string, source string, score int, target string, kept string").limit(n)
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").limit(n).write.parquet(str(tmp_path / name / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert (out.count() == 0) == (n == 0)
+    assert corpus_pipeline.quality(spark, docs, "").columns == docs.columns
