@@ -23,19 +23,19 @@ import json
 import re
 import sys
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, small_batches, table
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Words that a worker remembers; more are encoded again.
-REMEMBERED = 600_000
+#: Words that a worker remembers, and their bytes each; others are encoded again.
+REMEMBERED, HELD_LENGTH = 300_000, 64
 ROOT = 0
 #: Letters and numbers that Unicode has gained since the version that the tokenizers library follows (16).
 NEWER = (
@@ -85,7 +85,9 @@ class Words(dict):
         self.automaton = automaton
 
     def __missing__(self, word: str) -> str:
-        out = self[word] = ",".join(map(str, self.automaton.encode_word(word.encode("utf-8", "surrogatepass"))))
+        out = ",".join(map(str, self.automaton.encode_word(word.encode("utf-8", "surrogatepass"))))
+        if len(word) <= HELD_LENGTH:
+            self[word] = out
         return out
 
 
@@ -157,7 +159,7 @@ class Automaton:
         back: list = [None] * (n + 1)
         states[0] = ROOT
         known, target, trie = self.known, self.goes, self.trie
-        if len(known) > 2_000_000:
+        if len(known) > 500_000:
             known.clear()
         for j in range(n):
             state = states[j]
@@ -209,11 +211,33 @@ class Automaton:
         return b"".join([self.labels[int(n)] for n in ids]).decode("utf-8", "replace")
 
 
-@lru_cache(2)
+@lru_cache(1)
 def automaton(spec: bytes) -> Automaton:
     return Automaton(spec)
 
 
+def with_automaton(spec, convert) -> Callable[[Iterator], Iterator]:
+    """A worker's function that converts each batch by the automaton. At its end the words that were
+    remembered go, and the automaton stays for the worker's next task."""
+
+    @lean
+    def each(batches: Iterator[pd.Series]) -> Iterator:
+        a = automaton(spec.value)
+        try:
+            for batch in batches:
+                yield convert(a, batch)
+        finally:
+            a.words.clear()
+            a.known.clear()
+
+    return each
+
+
+def typed(f, out: str, made) -> Callable[[Column], Column]:
+    f.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[made]}
+    return F.pandas_udf(f, out)
+
+
 def read_spec(path: str | None = None) -> bytes:
     """The tokenizer's file, read once on the driver (its size is the vocabulary's)."""
     if path is None:
@@ -226,46 +250,35 @@ def read_spec(path: str | None = None) -> bytes:
 
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "token_ids") -> DataFrame:
     """docs with the ids of each whole text."""
+    small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
-
-    @F.pandas_udf("array<int>")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        a = automaton(spec.value)
-        for batch in texts:
-            yield batch.map(a.encode)
-
-    return docs.withColumn(out, encode(F.coalesce(F.col(text), F.lit(""))))
+    encode = typed(with_automaton(spec, lambda a, batch: batch.map(a.encode)), "array<int>", pd.Series)
+    return docs.withColumn(out, encode(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
 
 
 def decode_documents(docs: DataFrame, path: str | None = None, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """docs with the text of each list of ids; a null list is empty."""
+    small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    decode = typed(with_automaton(spec, lambda a, batch: batch.map(lambda x: "" if x is None else a.decode(x))), "string", pd.Series)
+    return docs.withColumn(out, decode(F.col(f"`{ids}`")))
 
-    @F.pandas_udf("string")
-    def decode(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        a = automaton(spec.value)
-        for batch in lists:
-            yield batch.map(lambda x: "" if x is None else a.decode(x))
 
-    return docs.withColumn(out, decode(F.col(ids)))
+def digests(a: Automaton, texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x in texts:
+        ids = a.encode_text(x)
+        rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(a.decode_text(ids).encode()).hexdigest()))
+    return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def digest_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """n_tokens and the digests of ids and decoded text, made in one pass without moving the
     ids out of the worker."""
+    small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
-
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        a = automaton(spec.value)
-        for batch in texts:
-            rows = []
-            for x in batch:
-                ids = a.encode_text(x)
-                rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(a.decode_text(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(id_col), digest(F.coalesce(F.col(text), F.lit(""))).alias("d")).select(id_col, "d.*")
+    digest = typed(with_automaton(spec, digests), "n_tokens long, ids_sha256 string, decoded_sha256 string", pd.DataFrame)
+    return docs.select(F.col(f"`{id_col}`"), digest(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("d")).select(f"`{id_col}`", "d.*")
 
 
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

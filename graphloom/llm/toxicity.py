@@ -23,13 +23,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, id_crc, id_text, saved, table
+from .common import fresh, id_crc, id_text, lean, saved, small_batches, table
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE = 3000
@@ -41,10 +42,12 @@ COST = 100.0
 POWER = 4
 #: Letters are counted modulo this; the first code is the word's start.
 LETTERS = 64
-#: Words whose kernel values a worker remembers.
-REMEMBERED = 150_000
-#: Letters of a word compared at once; longer words are compared piece by piece.
-PIECE = 48
+#: Bytes of kernel values that a worker remembers, and words; both are forgotten when one is full.
+REMEMBERED_BYTES, REMEMBERED = 32 << 20, 150_000
+#: Longer words are remembered by their hash, so that what is remembered has a bound in bytes.
+HELD_LENGTH = 64
+#: Letters of words that are compared at once; a word of more letters goes through them in spans.
+AREA = 4096
 #: Characters after which a group of texts is compared.
 GROUP_CHARS = 400_000
 #: Words whose values are gathered at once.
@@ -97,6 +100,19 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[first] // LETTERS**3, key[first] % LETTERS**3, np.add.reduceat(w, first)
 
 
+def long_subsequences(word: str) -> tuple[np.ndarray, np.ndarray]:
+    """(code, weight) of one word of any length, summed span by span."""
+    c = np.concatenate([np.zeros(1, np.uint8), *(letters([word[i : i + AREA]], len(word[i : i + AREA]))[0, 1:].astype(np.uint8) for i in range(0, len(word), AREA))])
+    total = np.zeros(LETTERS**3)
+    for at in range(0, len(c), AREA):
+        for x, y in GAPS:
+            ends = np.arange(max(y, at), min(at + AREA, len(c)))
+            code = (c[ends - y].astype(np.int64) * LETTERS + c[ends - y + x]) * LETTERS + c[ends]
+            total += np.bincount(code, minlength=LETTERS**3) * DECAY ** (y + 1)
+    code = np.flatnonzero(total)
+    return code, total[code]
+
+
 class Kernel:
     """Kernel values of words with landmarks, remembered per word."""
 
@@ -113,47 +129,54 @@ class Kernel:
 
     def clear(self) -> None:
         """Row 0 is the end of a sentence, row 1 a word that shares no code with a landmark."""
-        self.index: dict[str, int] = {"\0": 0}
-        self.values = np.zeros((1024, len(self.landmarks)), np.float32)
+        self.index: dict[str | bytes, int] = {"\0": 0}
+        self.values = np.zeros((REMEMBERED_BYTES // (4 * len(self.landmarks)) + STEP, len(self.landmarks)), np.float32)
         self.used = 2
 
     def compute(self, words: list[str]) -> np.ndarray:
-        """Kernel values. They are 0 for words that share no code with a landmark, whose products
-        are left out."""
+        """Kernel values of whole words. They are 0 for words that share no code with a landmark,
+        whose products are left out."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        pieces = [(k, w[i : i + PIECE]) for k, w in enumerate(words) for i in range(0, max(len(w) - MAX_SPAN, 1), PIECE - MAX_SPAN)]
-        for at in range(0, len(pieces), 2048):
-            own = pieces[at : at + 2048]
-            r, code, w = subsequences([p for _, p in own])
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * len(words[order[end]]) <= AREA:
+                end += 1
+            own = order[at:end]
+            if len(words[own[-1]]) > AREA:
+                code, w = long_subsequences(words[own[0]])
+                r = np.zeros(len(code), np.int64)
+            else:
+                r, code, w = subsequences([words[k] for k in own])
             square = np.bincount(r, w * w, len(own))
             row = self.row[code]
             hit = row > 0
             if hit.any():
                 r, row, w = r[hit], row[hit], (w[hit] / np.sqrt(square[r[hit]])).astype(np.float32)
                 first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                sums = np.add.reduceat(self.table[row] * w[:, None], first, axis=0)
-                np.maximum.at(out, np.array([k for k, _ in own])[r[first]], sums)
+                terms = self.table[row]
+                terms *= w[:, None]
+                out[np.array(own)[r[first]]] = np.add.reduceat(terms, first, axis=0)
+            at = end
         return out**POWER
 
     def of(self, words: list[str]) -> np.ndarray:
-        """Row numbers in self.values, by word."""
-        if len(self.index) > REMEMBERED:
+        """Row numbers in self.values, by word; at most STEP words."""
+        if len(self.index) > REMEMBERED or self.used + len(words) > len(self.values):
             self.clear()
-        new = list({w for w in words if w not in self.index})
+        keys = [w if len(w) <= HELD_LENGTH else blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in words]
+        new = {k: w for k, w in zip(keys, words, strict=True) if k not in self.index}
         if new:
-            k = self.compute(new)
+            k = self.compute(list(new.values()))
             like = k.max(axis=1) > 0
             n = int(like.sum())
-            if self.used + n > len(self.values):
-                grown = np.zeros((2 * (self.used + n), k.shape[1]), np.float32)
-                grown[: self.used] = self.values[: self.used]
-                self.values = grown
             self.values[self.used : self.used + n] = k[like]
             at = np.ones(len(new), np.int64)
             at[like] = np.arange(self.used, self.used + n)
             self.index.update(zip(new, at.tolist(), strict=True))
             self.used += n
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
 
     def spans(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(positions of sentences' end marks, features of the sentences). The last word is a mark."""
@@ -258,6 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, id_col: str =
     chosen = spark.createDataFrame(ids, f"`{id_col}` {dict(docs.dtypes)[id_col]}, y int")
     sample = saved(docs.select(id_col, text).join(F.broadcast(chosen), id_col).select(F.col(text).alias("text"), "y").repartition(spark.sparkContext.defaultParallelism))
 
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pairs = [(w, y) for t, y in zip(pdf["text"], pdf["y"], strict=True) for w in set(words_of(t)) if w != "\0" and len(w) > 1]
@@ -271,13 +295,14 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, id_col: str =
     apart = (F.col("t") / n1 - F.col("c") / n0) / F.sqrt((F.col("t") + F.col("c") + 2) / (n0 + n1))
     marks = [r["w"] for r in df.filter(apart > 0).orderBy(apart.desc(), "w").limit(TOXIC_LANDMARKS).collect()]
     marks += [r["w"] for r in df.filter(apart <= 0).orderBy(F.col("c").desc(), "w").limit(CLEAN_LANDMARKS).collect()]
-    marks = list(dict.fromkeys(w[:PIECE] for w in marks))
+    marks = list(dict.fromkeys(marks))
     if not marks:
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log(toxic / clean)))
     kernel = Kernel(marks)
     to = root(kernel.compute(marks).astype(np.float64))
 
     def features(weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        @lean
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             k = Kernel(marks)
             for pdf in batches:
@@ -303,16 +328,18 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, id_col: str =
 
 
 def score_column(model: Model, text):
+    @lean
     def each(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         k = Kernel(model.landmarks) if model.landmarks else None
         for batch in texts:
             yield pd.Series(model.scores(k, batch), dtype=float)
 
-    each.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    each.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(each, "double")(F.coalesce(text, F.lit("")))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SAMPLE) -> DataFrame:
+    small_batches(docs.sparkSession)
     model = train(docs, labels, size, id_col, text)
     held = (F.coalesce(id_crc(id_col), F.lit(0)) % FOLDS == HELD_OUT).alias("held_out")
     out = docs.select(id_col, held, score_column(model, F.col(text)).alias("score"))
@@ -321,6 +348,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def keep_civil(docs: DataFrame, labelled: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that aren't predicted toxic, by a model trained on labelled documents."""
+    small_batches(docs.sparkSession)
     model = train(labelled, labels, SAMPLE, id_col, text)
     (s,) = fresh(docs, "score")
     return docs.withColumn(s, score_column(model, F.col(f"`{text}`"))).filter(F.col(s) < 0.5).drop(s)
