@@ -73,7 +73,8 @@ def mix_to_targets(
     one at the cut is taken if most of it lies before the cut."""
     rest = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
     # the input's columns are in one struct, so no helper's name can meet one of theirs
-    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(c) for c in rest])
+    (pad,) = fresh(docs, "pad")
+    row = F.struct(F.lit(0).alias(pad), *[F.col(f"`{c}`").alias(c) for c in rest])
     keyed = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), source_key(source).alias("k"), size.alias("size"))
     keyed = keyed.withColumn("h", F.substring(F.md5(F.encode(F.concat(F.lit(seed), id_text("id")), "UTF-8")), 1, 16)).withColumn("b", F.substring("h", 1, BIN_DIGITS))
     bins = keyed.groupBy("k", "b").agg(F.sum("size").alias("bin_size"))
