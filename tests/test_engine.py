@@ -129,3 +129,16 @@ def test_config_is_forgiving(tmp_path):
     (tmp_path / ".graphloom.toml").write_text('include = ["./src/**"]\nexclude = 3\n[ranking_weights]\nquery = -2\nchat_file = "x"\n')
     c = load_config(str(tmp_path))
     assert c.include == ("src/**",) and c.exclude == () and c.weights.query == 0.0 and c.weights.chat_file == 1.0 and len(c.diagnostics) == 2
+
+
+def test_map_shows_highlights_and_actions_have_anchors_texts_and_commands(spark):
+    texts = {"lib.ts": "export function api() {\n  return 1;\n}\n", "lib.test.ts": "import { api } from './lib';\ntest('x', () => api());\n", "README.md": "# Guide\n\nSome text\n", "package.json": '{"name": "p", "devDependencies": {"vitest": "1"}}'}
+    g = tree(spark, texts, [("lib.ts", 1, "api", "def"), ("lib.test.ts", 2, "api", "ref")])
+    r = g.impact(["lib.ts"], spark.createDataFrame([("lib.ts", 1)], "rel_path string, line int"))
+    run = {a["kind"]: a for a in r["actions"].collect()}["run_nearby_test"]
+    assert run["target"] == "lib.test.ts" and run["command"] == "npx vitest run lib.test.ts" and run["risk"] == "low" and "lib.ts" in run["why"]
+    # only the test relation leads here, so there is no boundary symbol and the anchor is the file's first line
+    assert (run["anchor"]["file"], run["anchor"]["highlight_line"], run["anchor"]["kind"]) == ("lib.test.ts", 1, "file") and "2: test('x'" in run["anchor"]["excerpt"]
+    assert r["clusters"].first()["command"] == "npx vitest run lib.test.ts"
+    text, _ = g.map("small")
+    assert "(Doc Highlights)\n- Heading: Guide" in text
