@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -68,9 +69,16 @@ def dropped(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is at most SMALL rows (narrow ones, a few MB); else joined by shuffle."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, to be broadcast if it is at most `most` rows (narrow ones, a few MB); else joined by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more. It does so when
+    the driver collects garbage, which may be long after an operator's rounds have filled the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def saved(df: DataFrame) -> DataFrame:

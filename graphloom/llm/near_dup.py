@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, lean, saved, small_batches, table
+from .common import fresh, lean, released, saved, small, small_batches, table
 
 OP_SHINGLE = 4
 SHINGLE, SIMILARITY = 5, 80
@@ -47,6 +47,8 @@ COLLECTIONS, ROWS = 16, 3
 HASHES = COLLECTIONS * ROWS
 #: Of the HASHES 4-bit minhashes this many must agree; a pair at 0.8 has 39 +- 2.7.
 SKETCH_AGREE = 26
+#: Ids that are broadcast (a few MB), so that only the texts they name are shuffled.
+FEW_IDS = 1 << 18
 #: Classes of a key's main component that its outsiders are compared with, and how often.
 DRAWS, DRAW_ROUNDS = 3, 2
 _rng = np.random.default_rng(2)
@@ -237,6 +239,7 @@ def linked_classes(classes: DataFrame, texts: DataFrame, k: int, similarity: int
     tried = saved(near_pairs(met, classes, similarity))
     best = tried.groupBy("b").agg(F.max(F.struct("keys", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
     links = saved(confirm(saved(best), texts, k, similarity))
+    released(classes.sparkSession)
     mark = saved(components(links))
     other = saved(labelled(tried.join(best, ["a", "b"], "left_anti"), mark).filter("ca <> cb").select("a", "b"))
     mark = joined_by(other, mark, texts, k, similarity)
@@ -273,6 +276,7 @@ def joined_by(pairs: DataFrame, mark: DataFrame, texts: DataFrame, k: int, simil
     if pairs.isEmpty():
         return mark
     links = saved(confirm(pairs, texts, k, similarity))
+    released(pairs.sparkSession)
     return mark if links.isEmpty() else relinked(mark, links)
 
 
@@ -309,7 +313,8 @@ def class_texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, text) of the classes in pairs. A class's text is one of its id's texts; an id with
     several texts gives each pair all of them."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    return texts.join(ids, "id").dropDuplicates(["id", "h"]).drop("h")
+    ids = saved(ids)
+    return texts.join(small(ids, FEW_IDS), "id").dropDuplicates(["id", "h"]).drop("h")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
