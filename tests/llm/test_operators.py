@@ -422,6 +422,33 @@ def test_large_groups_of_near_copies_lose_no_link(spark):
     assert len(set(want.values())) > 1 and sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
 
 
+def test_outsiders_of_a_group_are_not_compared_by_text_with_all_its_members(spark, monkeypatch):
+    base, r = words(300, 3).split(), random.Random(4)
+    rows = []
+    for n in range(160):
+        w = list(base)
+        for k in r.sample(range(300), 4 if n % 2 else 16):
+            w[k] = f"edit{n}-{k}"
+        rows.append((n, " ".join(w)))
+    compared = []
+    real = near_dup.confirm
+    monkeypatch.setattr(near_dup, "confirm", lambda pairs, *how: compared.append(pairs.count()) or real(pairs, *how))
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4).collect())
+    want = brute_components(rows, 4)
+    assert got == want and sum(i == c for i, _, c in want) > 60
+    assert sum(compared) < 2500
+
+
+def test_fine_sketches_agree_as_sets_do():
+    base, other = words(3000, 5).split(), words(3000, 6).split()
+    for cut in (150, 300, 600):
+        a, b = " ".join(base), " ".join(base[:-cut] + other[:cut])
+        x, y = (set(near_dup.shingle_sets([t], 4)[0].tolist()) for t in (a, b))
+        n, bits = near_dup.fine_bits([a, "", b], 4)
+        same = near_dup.FINE - int(np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum())
+        assert n.tolist() == [len(x), len(y)] and abs(2 * same / near_dup.FINE - 1 - len(x & y) / len(x | y)) < 0.08
+
+
 def test_one_row_per_group_of_texts_without_ids(spark):
     a, b = words(40, 1), words(40, 2)
     rows = [(None, a), (None, a), (None, b), (5, a + " tail"), (7, b), (7, words(40, 3)), (7, words(40, 3)), (None, ""), (None, ""), (9, None)]
