@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ TOXIC_LANDMARKS, CLEAN_LANDMARKS = 72, 24
 DECAY, MAX_SPAN = 0.5, 6
 ROUNDS = 2
 COST = 100.0
-#: Kernel values are raised to this power, again a kernel, so that only near matches count.
+#: Kernel values are raised to this power (one of 2), again a kernel, so that only near matches count.
 POWER = 4
 #: Letters are counted modulo this; the first code is the word's start.
 LETTERS = 64
@@ -56,14 +57,23 @@ STEP = 20_000
 _BREAK = re.compile(r"[.!?]+(?=\s|$)|\n+")
 _DROP = re.compile(r"[^\w\s\x00]+|[\d_]+")
 _SPELT = re.compile(r"(?<!\S)(?:\w\s+){3,}\w(?!\S)")
+#: What _DROP drops of the first 256 characters, one byte each.
+_LATIN = bytes(c for c in range(256) if _DROP.fullmatch(chr(c)))
 GAPS = [(a, b) for b in range(2, MAX_SPAN) for a in range(1, b)]
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-case words; "\\0" ends a sentence."""
-    t = _DROP.sub("", _BREAK.sub(" \0 ", (text or "").lower()))
-    t = _SPELT.sub(lambda m: "".join(m[0].split()), t)
-    return t.split()
+    t = _BREAK.sub(" \0 ", (text or "").lower())
+    try:
+        t = t.encode("latin-1").translate(None, _LATIN).decode("latin-1")
+    except UnicodeEncodeError:
+        t = _DROP.sub("", t)
+    words = t.split()
+    single = np.fromiter(map(len, words), np.int64, len(words)) == 1
+    if b"\1\1\1\1" in single.tobytes():  # else no word is spelt letter by letter
+        words = _SPELT.sub(lambda m: "".join(m[0].split()), t).split()
+    return words
 
 
 def ended(words: list[str]) -> list[str]:
@@ -113,6 +123,23 @@ def long_subsequences(word: str) -> tuple[np.ndarray, np.ndarray]:
     return code, total[code]
 
 
+def reduced(op: np.ufunc, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """op.reduceat over rows. The n-th rows of all segments are taken at once, which is faster
+    unless one segment is very long."""
+    size = np.diff(np.r_[starts, len(rows)])
+    if 16 * size.max() > len(rows):
+        return op.reduceat(rows, starts, axis=0)
+    order = np.argsort(-size, kind="stable")
+    first, left = starts[order], np.cumsum(np.bincount(size)[::-1])[::-1]  # left[k]: segments of k rows or more
+    some = rows.take(first, axis=0)
+    for k in range(1, len(left) - 1):
+        n = left[k + 1]
+        op(some[:n], rows.take(first[:n] + k, axis=0), out=some[:n])
+    out = np.empty_like(some)
+    out[order] = some
+    return out
+
+
 class Kernel:
     """Kernel values of words with landmarks, remembered per word."""
 
@@ -155,16 +182,23 @@ class Kernel:
             if hit.any():
                 r, row, w = r[hit], row[hit], (w[hit] / np.sqrt(square[r[hit]])).astype(np.float32)
                 first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                terms = self.table[row]
+                terms = self.table.take(row, axis=0)
                 terms *= w[:, None]
-                out[np.array(own)[r[first]]] = np.add.reduceat(terms, first, axis=0)
+                out[np.array(own)[r[first]]] = reduced(np.add, terms, first)
             at = end
-        return out**POWER
+        for _ in range(POWER.bit_length() - 1):
+            np.square(out, out=out)
+        return out
 
     def of(self, words: list[str]) -> np.ndarray:
         """Row numbers in self.values, by word; at most STEP words."""
         if len(self.index) > REMEMBERED or self.used + len(words) > len(self.values):
             self.clear()
+        rows = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        lacks = np.flatnonzero(rows < 0)
+        if not len(lacks):
+            return rows
+        words = [words[k] for k in lacks.tolist()]
         keys = [w if len(w) <= HELD_LENGTH else blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in words]
         new = {k: w for k, w in zip(keys, words, strict=True) if k not in self.index}
         if new:
@@ -176,18 +210,19 @@ class Kernel:
             at[like] = np.arange(self.used, self.used + n)
             self.index.update(zip(new, at.tolist(), strict=True))
             self.used += n
-        return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        rows[lacks] = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        return rows
 
     def spans(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(positions of sentences' end marks, features of the sentences). The last word is a mark."""
         begun = np.zeros(len(self.landmarks), np.float32)
         for at in range(0, len(words), STEP):  # bounds the memory of one long text
             rows = self.of(words[at : at + STEP])
-            values, ends = self.values[rows], np.flatnonzero(rows == 0)
+            values, ends = self.values.take(rows, axis=0), np.flatnonzero(rows == 0)
             if not len(ends):
                 begun = np.maximum(begun, values.max(axis=0))
                 continue
-            out = np.maximum.reduceat(values[: ends[-1] + 1], np.r_[0, ends[:-1] + 1], axis=0)
+            out = reduced(np.maximum, values[: ends[-1] + 1], np.r_[0, ends[:-1] + 1])
             out[0] = np.maximum(out[0], begun)
             begun = values[ends[-1] :].max(axis=0)
             yield at + ends, out

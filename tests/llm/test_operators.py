@@ -271,6 +271,38 @@ def test_kernel_values_are_whole_and_a_text_scores_as_its_worst_sentence():
     assert k.worst(texts, v)[0] < -0.9 and k.worst(texts, v)[1] == 0 and k.worst(texts, v)[2] == 0
 
 
+def test_words_and_segments_equal_the_plain_way():
+    r = random.Random(5)
+    texts = ["a b c d e rest. s p e l t", "x y z only", "É t é s été 1 2 3 4 5", "ж у к и жуки", "a\x1cb\x85c d\xa0e f", "", None, "A!!! b_c-d\n\n1a 2b"]
+    texts += ["".join(r.choice("ab cÉß.!\n_9-\x00\x85ж " if n % 2 else "abC d.?\n7_") for _ in range(60)) for n in range(400)]
+    for t in texts:
+        plain = toxicity._DROP.sub("", toxicity._BREAK.sub(" \0 ", (t or "").lower()))
+        assert toxicity.words_of(t) == toxicity._SPELT.sub(lambda m: "".join(m[0].split()), plain).split()
+    rng = np.random.default_rng(1)
+    rows = rng.random((2000, 5)).astype(np.float32)
+    for longest in (2, 20, 900):
+        starts = np.cumsum(np.r_[0, rng.integers(1, longest, 400)])
+        starts = starts[starts < len(rows)]
+        assert (toxicity.reduced(np.maximum, rows, starts) == np.maximum.reduceat(rows, starts, axis=0)).all()
+        assert np.allclose(toxicity.reduced(np.add, rows, starts), np.add.reduceat(rows, starts, axis=0), rtol=1e-5)
+
+
+def test_words_are_matched_without_a_pattern_pass_unless_spelt(monkeypatch):
+    class Counted:
+        def __init__(self, real):
+            self.real, self.calls = real, 0
+
+        def sub(self, *how):
+            self.calls += 1
+            return self.real.sub(*how)
+
+    drop, spelt = Counted(toxicity._DROP), Counted(toxicity._SPELT)
+    monkeypatch.setattr(toxicity, "_DROP", drop)
+    monkeypatch.setattr(toxicity, "_SPELT", spelt)
+    assert toxicity.words_of("Plain, and été") == ["plain", "and", "été"] and not drop.calls and not spelt.calls
+    assert toxicity.words_of("b a d d") == ["badd"] and spelt.calls == 1
+
+
 def test_quality_statistics_and_outliers(spark, docs, rows, empty):
     def brute(t):
         w = (t or "").encode().split()
