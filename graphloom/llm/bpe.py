@@ -8,9 +8,9 @@ BPE produces, and a byte string has exactly one of them.
 
 All arcs of one label share a target, so a state is (label, merge that made it), and its arcs
 follow from two small tables: which v were removed from the copies for u and when. A pre-split
-word is encoded by walking the trie of token bytes from each reachable position and stepping
-the automaton: a position has one state at most, so the walk is linear in the word. Decoding
-emits the arcs' byte labels.
+word is encoded by walking the trie of token bytes and stepping the automaton, longest tokens first:
+a position has one state at most, so one from which the end can't be reached is left for good and
+the walk is linear in the word. Decoding emits the arcs' byte labels.
 
 Nulls: a null text is the empty text, which has no tokens. Strings of special tokens in a text
 become these tokens, as the tokenizers library does. Texts are encoded whole.
@@ -155,34 +155,41 @@ class Automaton:
         if (whole := self.whole.get(word)) is not None:  # a token's bytes encode to it
             return [whole]
         n = len(word)
-        states: list = [None] * (n + 1)
-        back: list = [None] * (n + 1)
-        states[0] = ROOT
         known, target, trie = self.known, self.goes, self.trie
         if len(known) > 500_000:
             known.clear()
-        for j in range(n):
-            state = states[j]
-            if state is None:
-                continue
-            node, i, base = trie, j, state << 20
+        out: list[int] = []
+        left: list = []  # of each position before: it, its state's base and the tokens not tried there
+        dead: set[int] = set()  # positions from which the end can't be reached
+        at, base = 0, ROOT << 20
+        while at < n:
+            node, i, options = trie, at, []
             while i < n:
                 node = node.get(word[i])
                 if node is None:
                     break
                 i += 1
                 token = node.get(-1)
-                if token is not None and states[i] is None:
-                    ok = known.get(base + token)
-                    if ok is None:
-                        ok = known[base + token] = self.steps(self.states[state], token)
-                    if ok:
-                        states[i], back[i] = target[token], (j, token)
-        out = []
-        while n:
-            n, token = back[n]
+                if token is not None:
+                    options.append((i, token))
+            while True:
+                if not options:
+                    dead.add(at)
+                    out.pop()
+                    at, base, options = left.pop()
+                    continue
+                i, token = options.pop()
+                if i in dead:
+                    continue
+                ok = known.get(base + token)
+                if ok is None:
+                    ok = known[base + token] = self.steps(self.states[base >> 20], token)
+                if ok:
+                    break
+            left.append((at, base, options))
             out.append(token)
-        return out[::-1]
+            at, base = i, target[token] << 20
+        return out
 
     def encode_text(self, text: str | None) -> str:
         """Ids as decimal text joined by commas."""

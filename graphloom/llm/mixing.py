@@ -1,10 +1,11 @@
 """Operator 1: mixing sources to target weights.
 
 Every document gets a hash-random key. The key space of each source is range-partitioned
-into equal bins, the bins' token counts give each bin's start by a prefix sum, rows are
-sorted and summed inside a bin only, and the source is cut where the running count meets
-its budget. Budgets above a source's size repeat whole epochs. A source that holds a third
-of all rows is spread over all its bins, so no task sees more than a bin of it.
+into equal bins, and the bins' token counts give each bin's start by a prefix sum. Bins that end
+within their source's budget are taken and those that start beyond it aren't, so these rows stay
+where they are; rows of the one bin at which the budget ends are sorted and summed, and the source
+is cut where the running count meets its budget. Budgets above a source's size repeat whole epochs.
+Only rows of a source's last bin are moved, so no task sees more than a bin of it.
 
 Nulls: a null source is a source of its own and sorts last; a null text has size 0; a null
 id is keyed as the empty text. Rows of size 0 are never taken. Equal rows are told apart by
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, id_text, table, word_count
+from .common import SMALL, fresh, id_text, saved, table, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -72,23 +73,38 @@ def mix_to_targets(
     tokens equal its target rounded down. whole=True takes documents only as wholes; the
     one at the cut is taken if most of it lies before the cut."""
     rest = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
-    # the input's columns are in one struct, so no helper's name can meet one of theirs
-    (pad,) = fresh(docs, "pad")
-    row = F.struct(F.lit(0).alias(pad), *[F.col(f"`{c}`").alias(c) for c in rest])
-    keyed = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), source_key(source).alias("k"), size.alias("size"))
-    keyed = keyed.withColumn("h", F.substring(F.md5(F.encode(F.concat(F.lit(seed), id_text("id")), "UTF-8")), 1, 16)).withColumn("b", F.substring("h", 1, BIN_DIGITS))
-    bins = keyed.groupBy("k", "b").agg(F.sum("size").alias("bin_size"))
+    key, hashed, own, fact, pad = fresh(docs, "key", "hash", "own", "fact", "pad")
+    digest = F.substring(F.md5(F.encode(F.concat(F.lit(seed), id_text(F.col(f"`{id_col}`"))), "UTF-8")), 1, 16)
+    keyed = docs.withColumns({key: source_key(source), hashed: digest})
+    bin_of = F.substring(hashed, 1, BIN_DIGITS)
+    bins = saved(keyed.select(F.col(key).alias("k"), bin_of.alias("b"), size.alias("size")).groupBy("k", "b").agg(F.sum("size").alias("bin_size")))
     goals = targets(bins.groupBy("k").agg(F.sum("bin_size").alias("own")), "k", "own", weights, cap)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    goals = saved(goals.withColumn("epochs", epochs).withColumn("left", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size")))
     before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = bins.withColumn("start", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).join(goals, "k").select("k", "b", "start", "source_size", "target")
+    starts = bins.withColumn("start", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).join(goals.select("k", "left"), "k")
+    ends = starts.filter(F.col("start") + F.col("bin_size") > F.col("left")).groupBy("k").agg(F.min(F.struct("b", "start")).alias("end"))
+    facts = goals.join(ends, "k", "left").select("k", F.struct("source_size", "target", "epochs", "left", F.col("end.b").alias("end"), F.col("end.start").alias("start")).alias(fact))
+    if goals.limit(SMALL + 1).count() <= SMALL:
+        at = F.broadcast(facts.select(F.struct("k").alias(own), fact))
+        joined = keyed.join(at, F.col(key) == F.col(f"{own}.k"))
+    else:  # by source and bin, so that a large source is dealt to many tasks
+        at = bins.select("k", "b").join(facts, "k").select(F.struct("k", "b").alias(own), fact)
+        joined = keyed.join(at, (F.col(key) == F.col(f"{own}.k")) & (bin_of == F.col(f"{own}.b")))
+    # the input's columns are in one struct, so no helper's name can meet one of theirs; sizes are
+    # generated, so that filters on what is made of them don't count words again
+    row = F.struct(F.lit(0).alias(pad), *[F.col(f"`{c}`").alias(c) for c in rest]).alias("row")
+    columns = [row, F.col(f"`{id_col}`").alias("id"), F.col(key).alias("k"), F.col(hashed).alias("h"), bin_of.alias("b"), F.col(f"{fact}.*"), F.explode(F.array(size)).alias("size")]
+    cut = joined.filter(bin_of == F.col(f"{fact}.end")).select(*columns)
     inside = Window.partitionBy("k", "b").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = keyed.withColumn("run", F.sum("size").over(inside)).join(starts, ["k", "b"])
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    left = F.floor("target").cast("long") - epochs * F.col("source_size")
+    cut = cut.withColumn("run", F.sum("size").over(inside))
     ahead = F.col("start") + F.col("run") - F.col("size")
-    last = F.when(2 * ahead + F.col("size") <= 2 * left, F.col("size")).otherwise(F.lit(0)) if whole else F.greatest(F.lit(0), F.least(F.col("size"), left - ahead))
-    out = rows.withColumn("taken", (epochs * F.col("size") + last).cast("long"))
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], "size", "source_size", "target", "taken")
+    last = F.when(2 * ahead + F.col("size") <= 2 * F.col("left"), F.col("size")).otherwise(F.lit(0)) if whole else F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - ahead))
+    rest_of = joined.filter(F.col(f"{fact}.end").isNull() | (bin_of != F.col(f"{fact}.end"))).select(*columns)
+    all_or_none = F.when(F.col("end").isNull() | (F.col("b") < F.col("end")), F.col("size")).otherwise(F.lit(0))
+    names = [*[F.col(f"row.`{c}`").alias(c) for c in rest], "size", "source_size", "target", "taken"]
+    taken = lambda df, part: df.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long")).select(*names)
+    return taken(rest_of, all_or_none).union(taken(cut, last))
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:

@@ -299,12 +299,13 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
 
 
 def keep_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The documents that pass, with their own columns. Texts are never written; their statistics
-    are made twice."""
+    """The documents that pass, with their own columns. Statistics are made once: those that pass
+    the base rules are held in the shared folder with their points until the estimates are made."""
     small_batches(docs.sparkSession)
     cols = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
     rows = docs.select(row, levels(F.col(f"`{lang}`"), F.col(f"`{source}`")).alias("keys"), with_statistics(F.col(f"`{text}`")).alias("s")).select("row", "keys", "s.*").filter(~base_failed())
+    rows = saved(rows.select("row", "keys", "point"))
     out = with_fit(rows, "keys", saved(rows.select("keys", "point")), "fit")
     return out.filter(far("fit").isNull() | (far("fit") <= CUT)).select([F.col(f"row.`{c}`").alias(c) for c in cols])
 

@@ -647,3 +647,66 @@ def test_pipeline_takes_empty_tables_and_extra_columns(spark, tmp_path):
         out = corpus_pipeline.run(spark, str(tmp_path / name))
         assert (out.count() == 0) == (n == 0)
     assert corpus_pipeline.quality(spark, docs, "").columns == docs.columns
+
+
+def shuffled(spark, run):
+    """Rows that the stages of run() write to shuffles."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        every = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteRecords() for x in (every.apply(i) for i in range(every.size()))}
+
+    before = stages()
+    run()
+    return sum(v for k, v in stages().items() if k not in before)
+
+
+def test_mixing_moves_only_the_bins_at_which_budgets_end(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN_DIGITS", 1)
+    docs = spark.createDataFrame([(k if k % 7 else k // 2, words(1 + k % 5, k), "abc"[k % 3]) for k in range(3000)], "doc_id long, text string, source string").repartition(2).cache()
+    assert docs.count() == 3000  # now cached
+    slim = docs.select("doc_id", "source", mixing.word_count("text").alias("n"))
+    out = []
+    # 3 sources of 16 bins, summed by 2 tasks, and the rows of 3 bins; not all rows
+    assert shuffled(spark, lambda: out.extend(mixing.mix_to_targets(slim, F.col("n")).collect())) < 1500
+    assert len(out) == 3000
+    for s in "abc":
+        own = [r for r in out if r["source"] == s]
+        assert sum(r["taken"] for r in own) == math.floor(own[0]["target"])
+        # by brute force: rows in the order of their keys, the last budget ending inside one
+        n, epochs = own[0]["source_size"], math.floor(own[0]["target"]) // own[0]["source_size"]
+        left, want = math.floor(own[0]["target"]) - epochs * n, []
+        for r in sorted(own, key=lambda r: (hashlib.md5(f"{mixing.SEED}{r['doc_id']}".encode()).hexdigest()[:16], r["doc_id"], r["size"])):
+            part = min(max(left, 0), r["size"])
+            want.append((r["doc_id"], r["size"], epochs * r["size"] + part))
+            left -= r["size"]
+        assert sorted(want) == sorted((r["doc_id"], r["size"], r["taken"]) for r in own)
+    whole = mixing.mixed_documents(docs).collect()
+    monkeypatch.setattr(mixing, "SMALL", 0)  # as with many sources
+    assert sorted(map(str, mixing.mix_to_targets(slim, F.col("n")).collect())) == sorted(map(str, out))
+    assert sorted(map(str, mixing.mixed_documents(docs).collect())) == sorted(map(str, whole))
+
+
+def test_quality_makes_statistics_once(docs, rows):
+    kept = quality.keep_quality(docs)
+    assert "ArrowEvalPython" not in kept._jdf.queryExecution().executedPlan().toString()  # nothing is left to be made
+    judged = {str(r["doc_id"]) for r in quality.judge_quality(docs).filter("kept").collect()}
+    assert kept.columns == docs.columns and {str(r["doc_id"]) for r in kept.collect()} == judged
+
+
+def test_bpe_encodes_longest_tokens_first():
+    class Counted(dict):
+        walks = 0
+
+        def get(self, *a):
+            Counted.walks += 1
+            return super().get(*a)
+
+    a = bpe.Automaton(bpe.read_spec())
+    a.trie = Counted(a.trie)
+    word = (" international" * 40).encode()
+    ids = a.encode_word(word)
+    assert b"".join(a.labels[n] for n in ids) == word
+    assert Counted.walks < len(word) // 2  # not from every position
