@@ -2,7 +2,8 @@
 
 Each stage gets the documents that its predecessor kept and returns documents with the same
 columns; the last returns doc_id, n_tokens and digests of ids and decoded text per document of
-the mix (a document that the mix repeats has a row per copy).
+the mix (a document that the mix repeats has a row per copy). A stage starts on executors that
+have given back the heap that its predecessor needed.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.bpe import digest_documents
-from graphloom.llm.common import shared_dir, table
+from graphloom.llm.common import shared_dir, table, trimmed
 from graphloom.llm.mixing import mixed_documents
 from graphloom.llm.near_dup import keep_one
 from graphloom.llm.quality import keep_quality
@@ -20,22 +21,27 @@ from graphloom.llm.toxicity import keep_civil
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trimmed(spark)
     return keep_quality(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trimmed(spark)
     return keep_civil(docs, docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trimmed(spark)
     return keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trimmed(spark)
     return mixed_documents(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trimmed(spark)
     return digest_documents(docs)
 
 

@@ -6,8 +6,10 @@ target without the arc v, and wherever u could be read, uv can be read too, to w
 (or, for u = v, to the old target of u). What it accepts then are exactly the sequences that
 BPE produces, and a byte string has exactly one of them.
 
-All arcs of one label share a target, so a state is (label, merge that made it), and its arcs
-follow from two small tables: which v were removed from the copies for u and when. A pre-split
+All arcs of one label share a target, so a state is the number of the merge that made it, from 1,
+or ROOT, and its arcs follow from two small tables: which v were removed from the copies for u and when.
+Tables by token, state and node are arrays and the trie is one table of arcs, because every worker, idle
+ones too, holds an automaton. A pre-split
 word is encoded by walking the trie of token bytes and stepping the automaton, longest tokens first:
 a position has one state at most, so one from which the end can't be reached is left for good and
 the walk is linear in the word. Decoding emits the arcs' byte labels.
@@ -22,6 +24,7 @@ import hashlib
 import json
 import re
 import sys
+from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -101,61 +104,64 @@ class Automaton:
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.labels |= {n: s.encode() for s, n in self.special.items()}
         self.decimal = {str(n): b for n, b in self.labels.items()}
-        self.born: dict[int, int] = {}  # token -> its merge; bytes have none
-        self.left: dict[int, int] = {}
-        self.made: dict[int, list[int]] = {}  # label u -> merges that copied its target
-        self.lost: dict[int, dict[int, int]] = {}  # label u -> v -> merge that took the arc v away
-        self.base: dict[int, tuple[int, int]] = {}  # label u -> target before the first copy
-        root = (-1, -1)
-        self.target = dict.fromkeys((n for n in self.labels), root)
+        size = max(self.labels, default=-1) + 1
+        self.born = array("i", [-1]) * size  # token -> its merge; bytes have none
+        self.left = array("i", [-1]) * size
+        self.made: dict[int, array] = {}  # label u -> merges that copied its target
+        self.lost: dict[int, int] = {}  # label u << 20 | v -> merge that took the arc v away
+        self.base: dict[int, int] = {}  # label u -> target before the first copy
+        self.goes = array("i", [ROOT]) * size  # label -> target
+        self.copied = array("i", [-1]) * (len(spec["model"]["merges"]) + 1)  # state -> label whose target it copies
         self.known: dict[int, bool] = {}
         for r, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             u, v, uv = vocab[a], vocab[b], vocab[a + b]
-            old = self.target[u]
+            old = self.goes[u]
             if not self.steps(old, v):
                 continue
             self.born[uv], self.left[uv] = r, u
-            self.target[uv] = self.target[v] if u != v else old
+            self.goes[uv] = self.goes[v] if u != v else old
             self.base.setdefault(u, old)
-            self.made.setdefault(u, []).append(r)
-            self.lost.setdefault(u, {})[v] = r
-            self.target[u] = (u, r)
-        self.trie: dict = {}
-        for n, label in self.labels.items():
-            if len(label) == 1 or n in self.born:
-                node = self.trie
-                for x in label:
-                    node = node.setdefault(x, {})
-                node[-1] = n
-        # states as numbers: the merge that made it, counted from 1, or ROOT
-        self.states = {r + 1: (u, r) for u, made in self.made.items() for r in made} | {ROOT: root}
-        self.goes = {n: r + 1 if u >= 0 else ROOT for n, (u, r) in self.target.items()}
-        self.whole = {label: n for n, label in self.labels.items() if len(label) == 1 or n in self.born}
+            self.made.setdefault(u, array("i")).append(r)
+            self.lost[u << 20 | v] = r
+            self.goes[u], self.copied[r + 1] = r + 1, u
+        self.whole = {label: n for n, label in self.labels.items() if len(label) == 1 or self.born[n] >= 0}
+        self.trie: dict[int, int] = {}  # first byte -> node
+        self.arcs: dict[int, int] = {}  # node << 8 | byte -> node
+        self.ends = array("i")  # node -> token that ends there
+        for label, n in self.whole.items():
+            node = -1
+            for x in label:
+                arcs, key = (self.trie, x) if node < 0 else (self.arcs, node << 8 | x)
+                node = arcs.setdefault(key, len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(-1)
+            self.ends[node] = n
         self.words = Words(self)
         special = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.split = pre_split
 
-    def steps(self, state: tuple[int, int], token: int) -> bool:
+    def steps(self, state: int, token: int) -> bool:
         """Whether the state has an arc with this label."""
-        while state[0] >= 0:
-            u, now = state
-            r = self.born.get(token, -1)
-            gone = self.lost[u].get(token)
+        while state != ROOT:
+            u, now = self.copied[state], state - 1
+            r = self.born[token]
+            gone = self.lost.get(u << 20 | token)
             if gone is not None and gone <= now and gone > r:
                 return False
-            if r < self.made[u][0]:
+            made = self.made[u]
+            if r < made[0]:
                 state = self.base[u]
             else:
-                state, token = (u, self.made[u][bisect_right(self.made[u], min(r, now)) - 1]), self.left[token]
+                state, token = made[bisect_right(made, min(r, now)) - 1] + 1, self.left[token]
         return True
 
     def encode_word(self, word: bytes) -> list[int]:
         if (whole := self.whole.get(word)) is not None:  # a token's bytes encode to it
             return [whole]
         n = len(word)
-        known, target, trie = self.known, self.goes, self.trie
+        known, target, trie, arcs, ends = self.known, self.goes, self.trie, self.arcs, self.ends
         if len(known) > 500_000:
             known.clear()
         out: list[int] = []
@@ -163,15 +169,13 @@ class Automaton:
         dead: set[int] = set()  # positions from which the end can't be reached
         at, base = 0, ROOT << 20
         while at < n:
-            node, i, options = trie, at, []
-            while i < n:
-                node = node.get(word[i])
-                if node is None:
-                    break
+            node, i, options = trie.get(word[at]), at, []
+            while node is not None:
                 i += 1
-                token = node.get(-1)
-                if token is not None:
+                token = ends[node]
+                if token >= 0:
                     options.append((i, token))
+                node = arcs.get(node << 8 | word[i]) if i < n else None
             while True:
                 if not options:
                     dead.add(at)
@@ -183,7 +187,7 @@ class Automaton:
                     continue
                 ok = known.get(base + token)
                 if ok is None:
-                    ok = known[base + token] = self.steps(self.states[base >> 20], token)
+                    ok = known[base + token] = self.steps(base >> 20, token)
                 if ok:
                     break
             left.append((at, base, options))

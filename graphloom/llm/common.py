@@ -74,11 +74,21 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def trimmed(spark: SparkSession) -> None:
+    """Let executors collect their garbage and give that memory back to the system. A heap that one
+    stage has grown stays else beside the Python workers of the next. Each core gets a task, so a
+    busy executor may be left out; that changes no result."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more. It does so when
-    the driver collects garbage, which may be long after an operator's rounds have filled the disks."""
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, and trim the
+    executors. It does so when the driver collects garbage, which may be long after an operator's
+    rounds have filled the disks."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trimmed(spark)
 
 
 def saved(df: DataFrame) -> DataFrame:

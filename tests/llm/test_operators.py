@@ -710,3 +710,27 @@ def test_bpe_encodes_longest_tokens_first():
     ids = a.encode_word(word)
     assert b"".join(a.labels[n] for n in ids) == word
     assert Counted.walks < len(word) // 2  # not from every position
+
+
+def test_bpe_automaton_is_small():
+    import tracemalloc
+
+    spec = bpe.read_spec()
+    tracemalloc.start()
+    try:
+        a = bpe.Automaton(spec)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(a.labels) == 50257 and held < 36 << 20  # each of an executor's workers holds one
+
+
+def test_pipeline_stages_trim_executors(spark, docs):
+    import corpus_pipeline
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    for name, stage in corpus_pipeline.STAGES[-2:]:
+        before = full()
+        stage(spark, docs, "")
+        assert full() > before, name
