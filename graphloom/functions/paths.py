@@ -213,3 +213,26 @@ def related_test_candidates(path: Column) -> Column:
     dirs = F.transform(F.array(up, *below, *beside), lambda d: F.array_join(d, "/"))
     joined = F.flatten(F.transform(dirs, lambda d: F.transform(names, lambda n: F.when(d == "", n).otherwise(F.concat(d, F.lit("/"), n)))))
     return F.array_distinct(joined)
+
+
+def source_keys(path: Column) -> Column:
+    """A source's folder (0) and its folder without a source root (1), each with its name; one of
+    them is among the test_keys of each of its related_test_candidates."""
+    p = normal(path)
+    up = parents(p)
+    inner = F.when(F.get(up, F.lit(0)).isin(*SOURCE_ROOTS), F.slice(up, 2, F.greatest(F.size(up), F.lit(1)))).otherwise(up)
+    key = lambda k, folder: F.struct(F.lit(k).alias("k"), F.array_join(folder, "/").alias("folder"), basename(p).alias("name"))
+    return F.array(key(0, up), key(1, inner))
+
+
+def test_keys(path: Column) -> Column:
+    """The source_keys that a source may have of which a path is a candidate."""
+    name, folder = basename(path), F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*\z", "")).otherwise(F.lit(""))
+    mark = r"(?:_test|\.test|\.spec)"
+    names = F.array_distinct(F.array(name, F.regexp_replace(name, "^test_", ""), F.regexp_replace(name, rf"{mark}\z", ""), F.regexp_replace(name, rf"{mark}(\.[^.]*)\z", "$1")))
+    dirs = "|".join(CANDIDATE_TEST_DIRS)
+    above = F.when(folder.rlike(rf"\A(?:{dirs})\z"), F.lit("")).when(folder.rlike(rf"/(?:{dirs})\z"), F.regexp_replace(folder, rf"/(?:{dirs})\z", ""))
+    beside = F.when(folder.rlike(rf"\A(?:{dirs})\z"), F.lit("")).when(folder.rlike(rf"\A(?:{dirs})/"), F.regexp_replace(folder, rf"\A(?:{dirs})/", ""))
+    key = lambda k, f: F.when(f.isNotNull(), F.struct(F.lit(k).alias("k"), f.alias("folder")))
+    folders = F.array_compact(F.array(key(0, folder), key(0, above), key(1, beside)))
+    return F.flatten(F.transform(folders, lambda f: F.transform(names, lambda n: F.struct(f["k"].alias("k"), f["folder"].alias("folder"), n.alias("name")))))

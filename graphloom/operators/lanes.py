@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.paths import is_integration_test, related_test_candidates
+from graphloom.functions.paths import is_integration_test
 from graphloom.functions.scores import action_confidence
 
+from .related import test_pairs
+
 ROLES = {k: n for n, k in enumerate("boundary public_api entrypoint config test neighbor".split())}
 REVIEW_ROLES = {k: n for n, k in enumerate("public_api entrypoint config test boundary neighbor".split())}
 CLUSTERS = {k: n for n, k in enumerate("sibling nearby integration".split())}
@@ -139,14 +141,20 @@ def shared_symbols(impact: DataFrame, changed: DataFrame | None = None, show: in
 
 
 def test_clusters(impact: DataFrame, show: int = 6) -> DataFrame:
-    """Impacted tests by seed and kind; siblings by candidate paths, an equi-join."""
+    """Impacted tests by seed and kind; siblings by candidate paths, an equi-join.
+    A group's lists are cut where its rows are counted, so no task holds a whole group."""
     tests = impact.filter("is_test")
-    cand = impact.filter("not is_test").select(F.col("path").alias("source"), F.explode(related_test_candidates(F.col("path"))).alias("path"))
-    sib = cand.join(tests.select("path").distinct(), "path").groupBy("path").agg(F.collect_set("source").alias("covers"))
+    sib = test_pairs(impact.filter("not is_test").select(F.col("path").alias("rel_path")), tests.select(F.col("path").alias("rel_path"))).groupBy(F.col("test").alias("path")).agg(F.collect_set("source").alias("covers"))
     none = F.array().cast("array<string>")
     t = tests.join(sib, "path", "left").withColumn("covers", F.coalesce("covers", none))
     kind = F.when(is_integration_test(F.col("path")), "integration").when(F.size("covers") > 0, "sibling").otherwise("nearby")
-    g = t.withColumn("kind", kind).groupBy("seed", "kind").agg(F.slice(F.sort_array(F.collect_set("path")), 1, 6).alias("paths"), F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("covers")))), 1, 5).alias("covers"), F.min("distance").alias("closest_distance"), F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("boundary")))), 1, 5).alias("focus_symbols"))
+    part = lambda k, x: F.transform(F.coalesce(x, none), lambda v: F.struct(F.lit(k).alias("part"), v.alias("value")))
+    lists = F.concat(part(0, F.array(F.lit(None).cast("string"))), part(1, F.array_compact(F.array("path"))), part(2, F.col("covers")), part(3, F.col("boundary")))  # 0: the group itself
+    rows = t.select("seed", kind.alias("kind"), "distance", F.explode(lists).alias("x")).groupBy("seed", "kind", "x.part", "x.value").agg(F.min("distance").alias("distance"))
+    k = F.row_number().over(Window.partitionBy("seed", "kind", "part").orderBy("value"))
+    few = rows.withColumn("k", k).filter(F.col("k") <= 6).filter((F.col("k") <= 5) | (F.col("part") == 1))
+    of = lambda n: F.transform(F.sort_array(F.collect_list(F.when(F.col("part") == n, F.struct("k", "value")))), lambda x: x["value"])
+    g = few.groupBy("seed", "kind").agg(of(1).alias("paths"), of(2).alias("covers"), F.min(F.when(F.col("part") == 0, F.col("distance"))).alias("closest_distance"), of(3).alias("focus_symbols"))
     return g.orderBy("closest_distance", _rank(F.col("kind"), CLUSTERS), "seed", F.get("paths", F.lit(0))).limit(show)
 
 

@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.paths import is_test_file, related_test_candidates
+from graphloom.functions.paths import is_test_file, related_test_candidates, source_keys, test_keys
 
 
 def related_tests(files: DataFrame) -> DataFrame:
     """(source, test, pos): candidate paths that exist and are tests, in order of preference.
     files: rel_path."""
     kinds = files.select("rel_path", is_test_file(F.col("rel_path")).alias("is_test")).distinct()
-    cand = kinds.filter("not is_test").select(F.col("rel_path").alias("source"), F.posexplode(related_test_candidates(F.col("rel_path"))).alias("pos", "test"))
-    return cand.join(kinds.filter("is_test").select(F.col("rel_path").alias("test")), "test").filter("test <> source").select("source", "test", "pos")
+    return test_pairs(kinds.filter("not is_test").select("rel_path"), kinds.filter("is_test").select("rel_path")).filter("test <> source")
+
+
+def test_pairs(sources: DataFrame, tests: DataFrame) -> DataFrame:
+    """(source, test, pos): the tests that are candidates of a source, and at which place. Both: rel_path.
+
+    A source's 55 candidates are never rows: sources and tests meet by a few keys each, and only
+    pairs that meet are held against the candidates."""
+    s = sources.select(F.col("rel_path").alias("source")).distinct().select("source", F.explode(source_keys(F.col("source"))).alias("key"))
+    t = tests.select(F.col("rel_path").alias("test")).distinct().select("test", F.explode(test_keys(F.col("test"))).alias("key"))
+    met = s.join(t, "key").select("source", "test").distinct()
+    at = met.select("source", "test", (F.array_position(related_test_candidates(F.col("source")), F.col("test")) - 1).cast("int").alias("pos"))
+    return at.filter("pos >= 0")
 
 
 def test_lift(files: DataFrame, tests: DataFrame, weight: float = 1.0) -> DataFrame:
