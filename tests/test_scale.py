@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths as P
+from graphloom.operators import anchors as A
+from graphloom.operators import graph as G
+from graphloom.operators import hunks as H
 from graphloom.operators import lanes as L
 from graphloom.operators import related as R
+from graphloom.sources import tables as T
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def moved(df) -> list[str]:
+    """What is shuffled: the columns that each exchange deals by."""
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan_of(df))
 
 
 def test_sources_and_tests_meet_by_few_keys_with_the_same_pairs(spark):
@@ -30,3 +47,16 @@ def test_clusters_keep_cuts_nulls_and_distances(spark):
         ("s", "nearby"): ([f"tests/test_f{k}.py" for k in range(2, 8)], [], 1, [None, "a", "b", "x2", "x3"]),
         (None, "integration"): (["e2e/z.py"], [], 4, []),
     }
+
+
+def tagged(spark, rows):
+    return spark.createDataFrame(rows, "rel_path string, line int, pos int, name string, kind string")
+
+
+def test_only_tags_of_boundary_symbols_are_moved(spark):
+    impact = spark.createDataFrame([(p, ["hub", p], ["x", "y"]) for p in ("p1", "p2")], "path string, path_from_seed array<string>, boundary array<string>")
+    tags = tagged(spark, [("hub", n, 0, "x", "def") for n in range(20, 0, -1)] + [("p1", 3, 1, "y", "ref"), ("p1", 1, 0, "other", "def"), ("p2", 2, 0, "x", "def")])
+    places = G.boundary_locations(impact, tags)
+    assert "LeftSemi" in plan_of(places)
+    got = {(r["path"], r["k"]): (r["rel_path"], r["name"], r["line"]) for r in places.collect()}
+    assert got == {(p, k): ("hub", "x", k) for p in ("p1", "p2") for k in range(1, 13)}
