@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.content import LINE_END
 from graphloom.functions.paths import basename
+from graphloom.plans.session import saved
 
 SNIPPET = ("file", "start_line", "end_line", "highlight_line", "kind", "symbol", "excerpt")
 
@@ -28,13 +29,15 @@ def _excerpt(parts: Column, line: Column, context: int) -> tuple[Column, Column,
 def boundary_snippets(locations: DataFrame, files: DataFrame, context: int = 1, show: int = 6) -> DataFrame:
     """The first `show` snippets of each target, numbered by `position`. locations: path (the
     target), k (order), rel_path, line, kind, name; files: rel_path, text."""
-    first = Window.partitionBy("path", "rel_path", "line", "kind", "name").orderBy("k")
-    one = locations.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
-    there = one.join(files.select("rel_path", _parts(F.col("text")).alias("parts")), "rel_path").filter("size(parts) > 0")
+    one = saved(locations.groupBy("path", "rel_path", "line", "kind", "name").agg(F.min("k").alias("k")))
+    # a file's text meets the lines to show once, whatever the number of targets that show them
+    spots = one.groupBy("rel_path").agg(F.collect_set("line").alias("lines")).join(files.select("rel_path", "text"), "rel_path")
+    lines = spots.select("rel_path", "lines", _parts(F.col("text")).alias("parts")).filter("size(parts) > 0").select("rel_path", F.explode("lines").alias("line"), "parts")
     start, end, _, text = _excerpt(F.col("parts"), F.col("line"), context)
+    there = one.join(lines.select("rel_path", "line", start.alias("start_line"), end.alias("end_line"), text.alias("excerpt")), ["rel_path", "line"])
     order = Window.partitionBy("path").orderBy("k", "rel_path", "line", "kind", "name")
     out = there.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= show)
-    return out.select("path", "position", F.col("rel_path").alias("file"), start.alias("start_line"), end.alias("end_line"), F.col("line").alias("highlight_line"), "kind", F.col("name").alias("symbol"), text.alias("excerpt"))
+    return out.select("path", "position", F.col("rel_path").alias("file"), "start_line", "end_line", F.col("line").alias("highlight_line"), "kind", F.col("name").alias("symbol"), "excerpt")
 
 
 def target_anchors(targets: DataFrame, snippets: DataFrame, prefer_target_file: bool = True) -> DataFrame:

@@ -60,3 +60,8 @@ def test_only_tags_of_boundary_symbols_are_moved(spark):
     assert "LeftSemi" in plan_of(places)
     got = {(r["path"], r["k"]): (r["rel_path"], r["name"], r["line"]) for r in places.collect()}
     assert got == {(p, k): ("hub", "x", k) for p in ("p1", "p2") for k in range(1, 13)}
+    files = spark.createDataFrame([("hub", "\n".join(f"l{n}" for n in range(1, 21))), ("p1", "a")], "rel_path string, text string")
+    shown = A.boundary_snippets(places, files)
+    by_path = re.findall(r"Exchange hashpartitioning\(path#[^\n]*\n(?:[^\n]*(?:WindowGroupLimit|Sort) [^\n]*\n)*[^\n]*Project \[([^\n]*)\]\n", plan_of(shown))
+    assert by_path and not any(re.search(r"(?:^|, )(?:parts|text)#\d+(?:,|$)", columns) for columns in by_path)  # excerpts move, texts do not
+    assert {(r["path"], r["position"]): r["excerpt"] for r in shown.collect()} == {(p, k): "\n".join(f"{n}: l{n}" for n in range(max(1, k - 1), k + 2)) for p in ("p1", "p2") for k in range(1, 7)}
