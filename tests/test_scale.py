@@ -53,6 +53,13 @@ def tagged(spark, rows):
     return spark.createDataFrame(rows, "rel_path string, line int, pos int, name string, kind string")
 
 
+def test_file_statistics_move_texts_and_no_tags(spark):
+    stats = G.file_tag_stats(T.tags(spark, SF, True))
+    assert moved(stats) and all(re.fullmatch(r"rel_path#\d+, \d+", x) for x in moved(stats))
+    tags = tagged(spark, [("f", 2, 0, "b", "def"), ("f", 1, 3, "a", "ref"), ("f", 1, 0, "b", "def"), ("f", 1, 0, "doc", "doc"), ("g", 7, 2, "z", "ref"), ("g", 7, 1, "y", "ref"), (None, 1, 0, "q", "def")])
+    assert {tuple(r[:3]) + (tuple(r[3]), tuple(r[4])) for r in G.file_tag_stats(tags).collect()} == {("f", 2, 1, ("b",), (1, 2)), ("g", 0, 2, ("y", "z"), ())}
+
+
 def test_only_tags_of_boundary_symbols_are_moved(spark):
     impact = spark.createDataFrame([(p, ["hub", p], ["x", "y"]) for p in ("p1", "p2")], "path string, path_from_seed array<string>, boundary array<string>")
     tags = tagged(spark, [("hub", n, 0, "x", "def") for n in range(20, 0, -1)] + [("p1", 3, 1, "y", "ref"), ("p1", 1, 0, "other", "def"), ("p2", 2, 0, "x", "def")])
