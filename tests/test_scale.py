@@ -60,6 +60,15 @@ def test_file_statistics_move_texts_and_no_tags(spark):
     assert {tuple(r[:3]) + (tuple(r[3]), tuple(r[4])) for r in G.file_tag_stats(tags).collect()} == {("f", 2, 1, ("b",), (1, 2)), ("g", 0, 2, ("y", "z"), ())}
 
 
+def test_changed_symbols_do_not_move_tags(spark):
+    spans = T.table(spark, SF, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("rel_path"), F.lit(2).alias("start"), F.lit(3).alias("end"))
+    found = H.changed_symbols(T.tags(spark, SF, True), spans)
+    assert "ShuffledHashJoin [rel_path" in plan_of(found) and not any("name" in x or "symbol" in x for x in moved(found))
+    tags = tagged(spark, [("f", n, 0, f"n{n}", "def") for n in (1, 255, 256, 257, 263, 266, 600)] + [("f", 600, 1, "n266", "ref")])
+    near = spark.createDataFrame([("f", 258, 260), ("f", 900, 900)], "rel_path string, start int, end int")
+    assert [tuple(r) for r in H.changed_symbols(tags, near).orderBy("distance", "symbol").collect()] == [("f", "n257", 1), ("f", "n256", 2)]
+
+
 def test_only_tags_of_boundary_symbols_are_moved(spark):
     impact = spark.createDataFrame([(p, ["hub", p], ["x", "y"]) for p in ("p1", "p2")], "path string, path_from_seed array<string>, boundary array<string>")
     tags = tagged(spark, [("hub", n, 0, "x", "def") for n in range(20, 0, -1)] + [("p1", 3, 1, "y", "ref"), ("p1", 1, 0, "other", "def"), ("p2", 2, 0, "x", "def")])
