@@ -53,6 +53,50 @@ def tagged(spark, rows):
     return spark.createDataFrame(rows, "rel_path string, line int, pos int, name string, kind string")
 
 
+def test_common_symbols_are_dropped_where_tags_are_read_and_edges_stay_the_same(spark, monkeypatch):
+    rows = [(f"f{k}", 1 + k % 3, 1, "loud", "ref") for k in range(40)] + [(f"f{k}", 2, 0, "loud", "def") for k in range(30)] + [(f"f{k}", 4, 1, "never", "ref") for k in range(40)]
+    rows += [(f"f{k}", 5 + k, 1, "fits", "ref") for k in range(6)] + [("f9", 3, 0, "fits", "def"), ("f9", 2, 0, "fits", "def"), ("f2", 9, 0, "fits", "def"), ("f2", 9, 0, None, "def"), (None, 1, 0, "fits", "ref")]
+    tags = tagged(spark, rows)
+    want = {(f"f{k}", d, "fits", 5 + k, n) for k in range(6) for d, n in (("f9", 2), ("f2", 9)) if f"f{k}" != d}
+    cols = ("src", "dst", "name", "ref_line", "def_line")
+    assert {tuple(r[c] for c in cols) for r in G.symbol_edges(tags).collect()} == want
+    monkeypatch.setattr(G, "LOUD", 20)  # both common symbols are found first
+    edges = G.symbol_edges(tags)
+    assert {tuple(r[c] for c in cols) for r in edges.collect()} == want
+    assert "LeftAnti" in plan_of(edges) and "BroadcastHashJoin" in plan_of(edges)
+    monkeypatch.setattr(G, "SMALL", 0)  # too many to broadcast
+    assert {tuple(r[c] for c in cols) for r in G.symbol_edges(tags).collect()} == want
+    assert {tuple(r) for r in G.rank_edges(tags).collect()} == {(a, b, 1) for a, b, *_ in want}
+
+
+def test_symbols_of_files_are_those_of_their_tags(spark, tmp_path):
+    docs = [(1, "The cat\nthe a cat9 Cat\n\n x"), (2, None), (3, ""), (1, "dog the\nÄpfel K1"), (4, "one\none two")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counted = lambda sides: {tuple(r) for r in G.symbol_counts(sides).collect()}
+    want = counted(G.symbol_sides(T.tags(spark, str(tmp_path))))
+    assert counted(T.symbols(spark, str(tmp_path))) == counted(G.symbol_sides(T.tags(spark, str(tmp_path), True))) == want and len(want) > 6
+
+
+def test_ranks_move_and_edges_do_not(spark):
+    nodes = spark.createDataFrame([(x,) for x in "abcd"], "node string")
+    edges = spark.createDataFrame([("a", "b", 2), ("a", "c", 1), ("b", "c", 1)], "src string, dst string, weight long")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    got = {r["node"]: r["rank"] for r in G.pagerank(nodes, edges.mapInPandas(counted, edges.schema), rounds=2).collect()}
+    assert read.value == 3  # each edge once
+    r = dict.fromkeys("abcd", 0.25)
+    for _ in range(2):
+        lost = (r["c"] + r["d"]) / 4
+        r = {n: 0.85 * (into + lost) + 0.15 / 4 for n, into in {"a": 0, "b": r["a"] * 2 / 3, "c": r["a"] / 3 + r["b"], "d": 0}.items()}
+    assert all(abs(got[n] - r[n]) < 1e-12 for n in "abcd")
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_file_statistics_move_texts_and_no_tags(spark):
     stats = G.file_tag_stats(T.tags(spark, SF, True))
     assert moved(stats) and all(re.fullmatch(r"rel_path#\d+, \d+", x) for x in moved(stats))
@@ -69,6 +113,13 @@ def test_changed_symbols_do_not_move_tags(spark):
     assert [tuple(r) for r in H.changed_symbols(tags, near).orderBy("distance", "symbol").collect()] == [("f", "n257", 1), ("f", "n256", 2)]
 
 
+def test_each_edge_is_read_once_for_neighbours(spark):
+    edges = spark.createDataFrame([(a, b, 1) for a, b in ("ab", "cb", "aa", "ba", "da", "ea", "fa", "ga")], "src string, dst string, weight long")
+    got = G.neighbours(edges)
+    assert plan_of(got).count("Scan ExistingRDD") == 1
+    assert {r["node"]: tuple(r)[1:] for r in got.collect()} == {"a": (5, 1, list("bdefg"), ["b"]), "b": (2, 1, ["a", "c"], ["a"]), **{x: (0, 1, [], ["b" if x == "c" else "a"]) for x in "cdefg"}}
+
+
 def test_only_tags_of_boundary_symbols_are_moved(spark):
     impact = spark.createDataFrame([(p, ["hub", p], ["x", "y"]) for p in ("p1", "p2")], "path string, path_from_seed array<string>, boundary array<string>")
     tags = tagged(spark, [("hub", n, 0, "x", "def") for n in range(20, 0, -1)] + [("p1", 3, 1, "y", "ref"), ("p1", 1, 0, "other", "def"), ("p2", 2, 0, "x", "def")])
